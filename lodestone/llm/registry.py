@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, secrets, sharding, simhash, urlfilter
-from lodestone.llm.common import columns, table
+from lodestone.llm import bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, urlfilter
+from lodestone.llm.common import id_fold, table
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -36,6 +36,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(id_fold("doc_id", 5) != 0))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (id_fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_offending"),
+    )
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(id_fold("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = F.when(F.col("toxic").isNull() & F.col("quality").isNull(), None).otherwise(
@@ -102,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_secret_scan": op2_secret_scan,
+        "op3_toxicity": op3_toxicity,
+        "op4_language": op4_language,
+        "op6_decontaminate": op6_decontaminate,
         "op8_url_filter": op8_url_filter,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
