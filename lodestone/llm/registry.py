@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, urlfilter
+from lodestone.llm import ann, bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, urlfilter
 from lodestone.llm.common import id_fold, table
 
 URL_RULES = [
@@ -60,6 +60,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = F.when(F.col("toxic").isNull() & F.col("quality").isNull(), None).otherwise(
@@ -129,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_language": op4_language,
         "op6_decontaminate": op6_decontaminate,
+        "op7_neighbours": op7_neighbours,
         "op8_url_filter": op8_url_filter,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
