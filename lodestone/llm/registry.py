@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, decontaminate, langid, secrets, sharding, simhash, toxicity, urlfilter
+from lodestone.llm import ann, bpe, decontaminate, langid, secrets, sharding, simhash, suffixdedup, toxicity, urlfilter
 from lodestone.llm.common import id_fold, table
 
 URL_RULES = [
@@ -56,6 +56,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), 400, digests=True)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op4_language": op4_language,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_decontaminate": op6_decontaminate,
         "op7_neighbours": op7_neighbours,
         "op8_url_filter": op8_url_filter,
