@@ -6,23 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import secrets, simhash
+from lodestone.llm import bpe, decontaminate, langid, secrets, simhash
 from lodestone.llm.common import table, written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text has no letter or whose language the model, fitted on the labelled ones, rejects."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a benchmark item's question and answer."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
     return secrets.redact_secrets(docs)
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return bpe.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash near-dedup", near_dedup),
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("decontamination", decontamination),
     ("secret scan", secret_scan),
+    ("BPE encoding", encoding),
 ]
 
 #: SQL cannot express the stages; the pipeline is tested against a brute-force version.
