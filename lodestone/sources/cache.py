@@ -8,10 +8,11 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION, POINTER = 3, "_pointer.json"
+SCHEMA_VERSION, POINTER = 3, "pointer.json"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -24,10 +25,13 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
     fs, where = _fs(spark, f"{root}/{POINTER}")
     if not fs.exists(where):
         return None
-    text = "".join(r[0] for r in spark.read.text(f"{root}/{POINTER}", wholetext=True).collect())
     try:
-        found = json.loads(text)
-    except ValueError:
+        stream = fs.open(where)
+        try:
+            found = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    except (ValueError, Py4JJavaError):  # not JSON, or a checksum that fails
         return None
     return found if isinstance(found, dict) and found.get("schema") == SCHEMA_VERSION else None
 
