@@ -5,7 +5,8 @@ and itself, hashed into ``BUCKETS`` embeddings. The mean of a text's embeddings
 and softmax are trained by stochastic gradient descent in numpy on the driver. The fit takes spans of at most
 ``SPAN_WORDS`` words of a hash sample of about ``FIT_DOCS`` labelled documents. A fifth of them are held back to
 calibrate: a temperature by likelihood, and the score under which a text is rejected, so that ``REJECTED`` of the
-calibration texts fall under it, but never over ``MOST_REJECT``.
+calibration texts fall under it, but never over ``MOST_REJECT`` times what a guess among the languages would score: a text
+that mixes two of them is told as the likelier one, and kept.
 
 The model is linear before the softmax, so each subword's contribution to the classes is one row of a table, and a word's
 sum of rows is kept; whole texts are scored, however long.
@@ -33,7 +34,7 @@ BUCKETS = 1 << BUCKET_BITS
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 FIT_DOCS, SPAN_WORDS, SPANS = 4000, 96, 3
 EPOCHS, BATCH, RATE = 6, 32, 4.0
-REJECTED, MOST_REJECT = 0.001, 0.5
+REJECTED, MOST_REJECT = 0.001, 1.25
 KEPT_PIECES, STEP = 300_000, 1000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -175,7 +176,7 @@ def calibrate(model: Model, spans: list[tuple[str, str]]) -> Model:
 
     model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
     _, score = model.predict(logits)
-    model.reject = float(min(MOST_REJECT, np.quantile(score, REJECTED)))
+    model.reject = float(min(MOST_REJECT / len(model.languages), np.quantile(score, REJECTED)))
     return model
 
 
