@@ -32,6 +32,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The table of CRC-32 by its rule, a reduction over each text's bytes, and the two rankings.
+OP1_SQL = """
+WITH RECURSIVE bits AS (SELECT i AS n, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, md5(concat_ws(':', 'lodestone', CAST(doc_id AS VARCHAR))) AS key FROM documents),
+b AS (SELECT doc_id, source, key, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2),
+    lambda i: CAST(concat('0x', substr(h, i, 2)) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 1) / (2.0::double * count(*) OVER (PARTITION BY source)) AS f FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, key, doc_id) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(((pos + 1) * 16 - 1) // n AS INT) AS shard, CAST(pos - ((pos + 1) * 16 - 1) // n * n // 16 AS BIGINT) AS slot,
+  CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -60,6 +75,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), 400, digests=True)
 
 
+#: All windows of 400 bytes (800 hexadecimal digits) counted by their digest, and gaps and islands over the repeated ones.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM d, unnest(range(0, length(h) // 2 - 399)) u(i)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS cut FROM s),
+k AS (SELECT r, i, sum(cut) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+a AS (SELECT r, span, min(i) AS b, max(i) + 400 AS e FROM k GROUP BY r, span),
+x AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM a),
+y AS (SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head
+  FROM x JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE concat(head, substr(h, 2 * last + 1)) END)) AS kept_sha256 FROM d LEFT JOIN y USING (r)
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -146,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_url_filter": OP8_SQL}

@@ -45,3 +45,21 @@ def test_edges(spark, sf, edge_docs, no_docs):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "decontamination", "secret scan", "BPE encoding"]
     assert set(oracle_sql()) <= set(queries()) and bpe.BATCH_CHARS > 0
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    for name, sql in oracle_sql().items():
+        got, want = queries()[name](spark, sf).toPandas(), con.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        same = [
+            sorted(tuple("" if v is None or v is np.nan or str(v) in ("nan", "<NA>") else str(v) for v in row) for row in d[sorted(d.columns)].itertuples(index=False))
+            for d in (got, want)
+        ]
+        assert same[0] == same[1], name
