@@ -33,7 +33,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Odd multipliers of the subwords' polynomial hash.
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 FIT_DOCS, SPAN_WORDS, SPANS = 4000, 96, 3
-EPOCHS, BATCH, RATE = 6, 32, 4.0
+EPOCHS, STEPS, BATCH, RATE = 6, 1500, 32, 4.0
 REJECTED, MOST_REJECT = 0.001, 1.25
 KEPT_PIECES, STEP = 300_000, 1000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -134,9 +134,11 @@ def train(spans: list[tuple[str, str]], seed: int = 7) -> Model:
     y = np.array(ys, np.int64)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, offset = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps = max(1, EPOCHS * -(-len(bags) // BATCH))
-    step = 0
-    for _ in range(EPOCHS):
+    # Few documents are gone over more often, so that they are learnt as well as many.
+    rounds = -(-len(bags) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // max(1, rounds)))
+    steps, step = max(1, epochs * rounds), 0
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]

@@ -79,5 +79,6 @@ def test_verdicts_and_edges(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(50)] + [(100, 0), (None, 1), (51, None), (999, 1)], "page_id long, bad int")
     rows = urlfilter.filter_urls(pages, labels, []).collect()
     assert {r["verdict"] for r in rows if r["page_id"] < 60} == {"block"}
-    assert {r["verdict"] for r in rows if r["page_id"] >= 100} == {"allow"} and all(r["rule"] is None for r in rows)
+    assert {r["verdict"] for r in rows if r["page_id"] == 100} == {"allow"} and all(r["rule"] is None for r in rows)
+    assert [(r["host"], r["path"]) for r in rows if r["page_id"] == 101] == [("", "")] and len(rows) == 62
     assert urlfilter.filter_urls(pages.limit(0), labels, URL_RULES).count() == 0
