@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -56,6 +59,12 @@ def _at_exit() -> None:
         _WRITTEN.clear()
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of a value of bounded size whose classes travel along, as an executor need not have this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

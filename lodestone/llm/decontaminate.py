@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import shipped
+
 K1, B, SHINGLE, OVERLAP, THRESHOLD = 1.2, 0.75, 5, 0.8, 0.6
 MOST_ITEMS, MOST_CHARS, LEAST_PASSAGE = 4000, 4_000_000, 128
 #: Items of a posting block at least, and blocks of an index at most.
@@ -210,15 +212,15 @@ def find_leaks(
     schema = f"`{id_col}` {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, passages long"
     out = []
     for index in item_blocks(items, item_col, text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = shipped(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent.value)
+            searcher = Searcher(sent())
             for batch in batches:
                 rows, at = [], []
                 for i, text in enumerate(batch.column(1)):
                     for item, got in sorted(searcher.leaks(text.as_py()).items()):
-                        rows.append((sent.value.ids[item], *got))
+                        rows.append((searcher.index.ids[item], *got))
                         at.append(i)
                 if rows:
                     cols = list(zip(*rows))
@@ -238,10 +240,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     """The rows of docs that leak no item, all columns."""
     at = docs.columns.index(text_col)
     for index in item_blocks(items, item_col, text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        sent = shipped(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent.value)
+            searcher = Searcher(sent())
             for batch in batches:
                 yield batch.filter(pa.array([not searcher.leaks(t.as_py()) for t in batch.column(at)], pa.bool_()))
 

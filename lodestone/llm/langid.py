@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import shipped
+
 BUCKET_BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
 BUCKETS = 1 << BUCKET_BITS
 #: Odd multipliers of the subwords' polynomial hash.
@@ -225,10 +227,10 @@ def fit(
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: the id, lang_pred, score and rejected."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent()
         known = Sums(len(model.languages))
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
@@ -253,11 +255,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of df whose text the model does not reject, all columns."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(df.sparkSession, model)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent()
         known = Sums(len(model.languages))
         for whole in batches:
             for start in range(0, whole.num_rows, STEP):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import shipped
+
 BUCKETS = 1 << 18
 FIT_DOCS, FIT_CHARS = 3000, 40_000
 EPOCHS, BATCH, RATE, DECAY, START = 8, 32, 1.0, 1e-5, -6.0
@@ -165,10 +167,10 @@ def score_toxicity(
     df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5
 ) -> DataFrame:
     """A row per row: the id, score (0 to 1), and sentences: those of at least ``offending``, array of start, end, p."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = sent.value.scorer()
+        score = sent().scorer()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
             scores, where = [], []
