@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -69,15 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """df with just these columns; one that it lacks is null."""
-    have = {c.lower() for c in df.columns}
-    missing = [n for n in names if n.lower() not in have]
-    if len(missing) == len(names):
-        raise AnalysisException(f"the input has none of the columns {names}")
-    return df.select(*[F.lit(None).cast("string").alias(n) if n in missing else F.col(f"`{n}`") for n in names])
-
-
 def id_fold(column: str, folds: int):
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

@@ -258,9 +258,12 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, words_in: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their component, one for each component, all columns."""
-    found = near_duplicates(df, words_in, threshold, id_col=id_col, text_col=text_col)
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first(id_col).alias("__id"))
-    chosen = chosen.select("__id").distinct()
-    kept = df.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of each component, all columns: the one of the smallest id, a null id coming last.
+
+    Texts that share an id are documents of their own, told apart by a hash of the text; rows alike in both stay once.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    keyed = df.withColumn("__key", key)
+    found = near_duplicates(keyed, words_in, threshold, id_col="__key", text_col=text_col)
+    chosen = found.where(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

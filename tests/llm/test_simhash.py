@@ -106,3 +106,9 @@ def test_edges(edge_docs, no_docs):
     kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.keep_one(edge_docs).select("doc_id").collect())
     assert [d for n, d in kept if not n] == [1, 3, 6, 7, 8] and sum(n for n, _ in kept) == 1
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark):
+    texts = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (1, "one two three four five six"), (2, "one two three four five six")]
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(set(texts[:2]))
