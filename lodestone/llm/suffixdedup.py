@@ -154,6 +154,8 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         F.col("key").alias("k"),
         F.when(F.col("low") == F.col("high"), WHOLE).when(F.col("n") > HOT, CORES).otherwise(MIXED).alias("kind"),
     )
+    # Written, so that the join deals both sides anew and Spark can split a hot key's runs.
+    keys = written(keys, "keys")
     found = runs.join(keys, F.col("key") == F.col("k")).groupBy("r1", "r2").agg(
         F.collect_set(F.struct("key", "content", "kind")).alias("runs")
     )
