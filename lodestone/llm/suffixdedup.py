@@ -34,7 +34,9 @@ from lodestone.llm.suffixes import shared_starts
 from lodestone.llm.winnow import GRAM, gram_hashes, segments
 
 #: Window starts of a bin; bytes that a suffix array takes at once; runs of a key from which it is dealt by cores.
-BIN, POOL, HOT = 16, 3_000_000, 50_000
+BIN, POOL, HOT = 16, 1_500_000, 50_000
+#: Bytes of different pieces that a task gathers, and counts, before it sends them.
+GATHERED = 16_000_000
 #: Kinds of runs: repeated as a whole, to compare by key, to compare by cores.
 WHOLE, MIXED, CORES = 0, 1, 2
 
@@ -162,10 +164,10 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     texts = written(texts.join(found, ["r1", "r2"]), "texts")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs to compare: shard's key, run's key, content's hash, offset of the piece, bytes."""
+        """Runs to compare: shard's key, run's key, content's hash, offset of the piece, bytes, how often."""
+        out: dict[tuple[int, int, int, int, bytes], int] = {}
+        size = 0
         for batch in batches:
-            out: list[tuple[int, int, int, int, bytes]] = []
-            size = 0
             for text, runs in zip(batch.column(0), batch.column(1)):
                 wanted = {(r["key"], r["content"]): r["kind"] for r in runs.as_py() if r["kind"] != WHOLE}
                 if not wanted:
@@ -179,24 +181,28 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         continue
                     content = raw[i : j + length]
                     if kind == MIXED:
-                        out.append((key, key, c, 0, content))
+                        pieces = [(key, key, c, 0, content)]
                     else:
+                        pieces = []
                         for a, b, core, _ in bins_of(content, key % (1 << 64), length):
                             shard = xxhash.xxh3_64_intdigest(content[core : core + length - BIN + 1]) - (1 << 63)
-                            out.append((shard, key, c, a, content[a : b + length]))
-                    size += len(content)
-                if size > 8_000_000:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
+                            pieces.append((shard, key, c, a, content[a : b + length]))
+                    for piece in pieces:
+                        size += 0 if piece in out else len(piece[4])
+                        out[piece] = out.get(piece, 0) + 1
+                if size > GATHERED:
+                    yield from _batches(out)
+                    out, size = {}, 0
+        if out:
+            yield from _batches(out)
 
-    def _batch(out: list) -> pa.RecordBatch:
-        cols = list(zip(*out))
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "key", "content", "offset", "bytes"]
-        )
+    def _batches(out: dict) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64()]
+        names = ["shard", "key", "content", "offset", "bytes", "times"]
+        rows = [(*piece, n) for piece, n in out.items()]
+        for at in range(0, len(rows), 5000):
+            cols = list(zip(*rows[at : at + 5000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard's and run's key; each distinct piece once, with how often it came."""
@@ -221,14 +227,14 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "content", "first", "last"])
 
         for batch in batches:
-            for at, key, content, offset, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, key, content, offset, raw, times in zip(*(c.to_pylist() for c in batch.columns)):
                 if (at, key) != now:
                     if now is not None:
                         close()
                     held.clear()
                     now = at, key
                 what = content, offset, raw
-                held[what] = held.get(what, 0) + 1
+                held[what] = held.get(what, 0) + times
             if out:
                 yield give()
         if now is not None:
@@ -240,7 +246,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             yield give()
 
     pieces = texts.select("text", "runs").mapInArrow(
-        emit, "shard long, key long, content long, offset int, bytes binary"
+        emit, "shard long, key long, content long, offset int, bytes binary, times long"
     )
     starts = pieces.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(
         compare, "key long, content long, first long, last long"
