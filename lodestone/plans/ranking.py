@@ -103,8 +103,10 @@ def heuristic(now: int, weights: Weights | None = None, usage: DataFrame | None
     def rank(query: SearchQuery, df: DataFrame) -> DataFrame:
         none = F.array().cast(tx.RANGES)
         name_points, path_points, name_ranges, path_ranges = F.lit(0.0), F.lit(0.0), [none], [none]
+        # Files with a single word have passed a filter for it, so no loose match is left to find, and no Python to run.
+        settled = len(query.tokens) == 1 and bool(query.types) and set(query.types) <= {"file", "directory"}
         for i, token in enumerate(query.tokens):
-            p, r = field_points(token, "name", "lname", w, allow_fuzzy=True)
+            p, r = field_points(token, "name", "lname", w, allow_fuzzy=not settled)
             q, s = field_points(token, "path", "lpath", w, allow_fuzzy=False)
             df = df.withColumns({f"__n{i}": F.struct(p.alias("p"), r.alias("r")), f"__p{i}": F.struct(q.alias("p"), s.alias("r"))})
             df = df.where(F.col(f"__n{i}.p").isNotNull() | F.col(f"__p{i}.p").isNotNull())
