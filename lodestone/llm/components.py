@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v), u > v, one way each. large: each node's larger neighbours to its smallest; else its smaller ones."""
     ways = edges.union(edges.select("v", "u").toDF("u", "v")) if large else edges
     least = ways.groupBy("u").agg(F.min("v").alias("least"))
-    least = least.select(F.col("u").alias("c"), F.least("u", "least").alias("least"))
+    # Under a name that Spark does not know to be dealt by u, the join deals both sides anew, so it can split a hot node.
+    least = least.select(F.bitwise_not(F.bitwise_not("u")).alias("c"), F.least("u", "least").alias("least"))
     met = ways.join(least, F.col("u") == F.col("c"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
