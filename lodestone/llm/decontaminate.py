@@ -6,13 +6,15 @@ holds whole scores 1. The search gets all items over the threshold. Items stand
 its greatest impact in each block: a passage's sums of these tell at once which blocks can reach the threshold, mostly
 none. There WAND pivots on the terms' upper bounds, checks the block maxima at the pivot, and skips what cannot. Each hit is verified: the passage must hold
 ``OVERLAP`` of the five-word shingles of the item's question and of its answer. The answer is the item's last sentence,
-or the second half of its words if it has just one sentence; a part under five words is one shingle.
+or the second half of its words if it has just one sentence; a part under five words is one shingle. A part that stands in
+one run but for its first or last word is held to the share of its words, so that no edge word of a short part decides; an
+item of five words or more is also held where it stands verbatim with its ends inside longer words.
 
 The index is built of items in blocks of at most ``MOST_ITEMS`` items and ``MOST_CHARS`` code points, the documents are
 searched once for each block, and a block is what is broadcast, so its size is bounded whatever the benchmark's.
 
-Defined results: words are what stands between white space, in lower case, without punctuation at the ends; null, empty
-and blank items match nothing, nor do such texts; repeated rows and repeated items are reported one by one. Whole texts
+Defined results: words are runs of letters and digits, case-folded; items without one (null and blank ones are such) match
+nothing, nor do such texts; repeated rows and repeated items are reported one by one. Whole texts
 are searched. Columns other than those named are dropped; empty tables give no rows.
 """
 
@@ -24,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,12 @@ K1, B, SHINGLE, OVERLAP, THRESHOLD = 1.2, 0.75, 5, 0.8, 0.6
 MOST_ITEMS, MOST_CHARS, LEAST_PASSAGE = 4000, 4_000_000, 128
 #: Items of a posting block at least, and blocks of an index at most.
 LEAST_BLOCK, MOST_BLOCKS = 8, 64
-KEPT_PIECES = 500_000
-EDGES = ".,;:!?\"'()[]{}<>*_-|#…«»„“”‘’¿¡"
+WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for p in (text or "").lower().split() if (w := p.strip(EDGES))]
+    return WORD.findall((text or "").casefold())
 
 
 def parts_of(text: str) -> tuple[list[str], list[str]]:
@@ -63,7 +65,9 @@ class Index:
     """BM25 postings of items with block maxima; items are (id, text) and known by their places."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        bags = [Counter(words_of(t)) for _, t in items]
+        words = [words_of(t) for _, t in items]
+        bags = [Counter(w) for w in words]
+        self.texts = [" ".join(w) if len(w) >= SHINGLE else "" for w in words]
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(t or "") for _, t in items]
         sizes = [sum(b.values()) for b in bags]
@@ -76,7 +80,10 @@ class Index:
         for at, (bag, size) in enumerate(zip(bags, sizes)):
             norm = K1 * (1 - B + B * size / mean)
             impact = {w: idf[w] * n * (K1 + 1) / (n + norm) for w, n in bag.items()}
-            whole = sum(impact.values())
+            # An item of which all but the edge words is there must reach the threshold too.
+            whole, inner = sum(impact.values()), sum(impact[w] for w in set(words[at][1:-1]))
+            if self.texts[at]:
+                whole = min(whole, inner / THRESHOLD)
             for w, x in impact.items():
                 self.postings[self.terms[w]].append(at)
                 self.impacts[self.terms[w]].append(x / whole)
@@ -134,39 +141,31 @@ class Index:
         return out
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float]:
-        """The shares of the shingles of the item's question and answer that the words hold; 1 for an empty part."""
+        """The shares of the item's question and answer that the words hold; 1 for an empty part."""
+        text = f" {' '.join(words)} "
+        if self.texts[item] and self.texts[item] in text:
+            return 1.0, 1.0
         shares = []
         for part in self.parts[item]:
             own = shingles(part)
             there = shingles(words, min(SHINGLE, len(part))) if own else set()
-            shares.append(sum(s in there for s in own) / len(own) if own else 1.0)
+            share = sum(s in there for s in own) / len(own) if own else 1.0
+            if share < OVERLAP and any(f" {' '.join(run)} " in text for run in (part[1:], part[:-1])):
+                share = max(share, (len(part) - 1) / len(part))
+            shares.append(share)
         return shares[0], shares[1]
 
 
 class Searcher:
-    """Searches texts against an index; keeps the terms of parts between spaces."""
+    """Searches texts against an index."""
 
     def __init__(self, index: Index):
         self.index = index
-        self.known: dict[str, int] = {}
-
-    def term(self, piece: str) -> int:
-        """The number of the term; -1 for a word that no item has, -2 for no word."""
-        word = piece.strip(EDGES)
-        t = self.known[piece] = self.index.terms.get(word, -1) if word else -2
-        return t
 
     def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, list[float]]:
         """For each verified item its best score, question share, answer share, and the number of passages."""
-        pieces = (text or "").lower().split()
-        known, term = self.known, self.term
-        ids = np.fromiter(
-            (t if (t := known.get(p)) is not None else term(p) for p in pieces), np.int64, len(pieces)
-        )
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        real = np.flatnonzero(ids != -2)
-        ids = ids[real]
+        every = words_of(text)
+        ids = np.fromiter(map(self.index.terms.get, every, repeat(-1)), np.int64, len(every))
         n, size, step = len(ids), self.index.passage, self.index.passage // 2
         sums = np.concatenate([[0.0], np.cumsum(self.index.bound[ids])])  # bound[-1] is 0
         starts = np.arange(0, max(1, n - size + step), step)
@@ -179,11 +178,11 @@ class Searcher:
             terms = terms[terms >= 0]
             words = None
             for item, score in self.index.search(terms, threshold):
-                words = words or [pieces[i].strip(EDGES) for i in real[a:b]]
+                words = words or every[a:b]
                 q, r = self.index.verify(item, words)
                 if q >= overlap and r >= overlap:
                     best = found.setdefault(item, [0.0, 0.0, 0.0, 0])
-                    best[:] = [max(best[0], score), max(best[1], q), max(best[2], r), best[3] + 1]
+                    best[:] = [max(best[0], min(1.0, score)), max(best[1], q), max(best[2], r), best[3] + 1]
         return found
 
 

@@ -56,6 +56,31 @@ def test_blocks_of_items_and_partial_leaks(spark, monkeypatch):
     assert got == {(1, 0), (1, 12), (3, 2)}
 
 
+def test_finds_every_verbatim_item(spark, sf):
+    """Against plain substring search of the raw item text."""
+    sf = sf.replace("0.001", "0.1")
+    docs, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "benchmark"))
+    texts = items_of(spark, sf)
+    want = {(d["doc_id"], i) for d in docs.collect() for i, t in texts if t in (d["text"] or "")}
+    assert want and want <= {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()}
+
+
+def test_glued_ends_and_edge_words_of_short_answers(spark):
+    question = "ten words make up the question that is asked here."
+    items = spark.createDataFrame([(1, f"{question} Five words are the answer."), (2, f"{question} Berlin.")], "item_id long, text string")
+    texts = [
+        f"&&&{question} Five words are the answer.%%% more",
+        f"glued{question} Five words are the answers",
+        f"{question} Five words are the reply",
+        f"{question} Four words are the reply",
+        f"{question} berlin%%%",
+        f"{question} dublin",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()}
+    assert found == {(0, 1), (1, 1), (2, 1), (4, 2)}
+
+
 def test_edges(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(1, "some words to read here and there")], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
