@@ -4,9 +4,13 @@ A text's words are lower-cased runs of letters; a word's subwords are its charac
 and itself, hashed into ``BUCKETS`` embeddings. The mean of a text's embeddings goes into a linear softmax; embeddings
 and softmax are trained by stochastic gradient descent in numpy on the driver. The fit takes spans of at most
 ``SPAN_WORDS`` words of a hash sample of about ``FIT_DOCS`` labelled documents. A fifth of them are held back to
-calibrate: a temperature by likelihood, and the score under which a text is rejected, so that ``REJECTED`` of the
-calibration texts fall under it, but never over ``MOST_REJECT`` times what a guess among the languages would score: a text
-that mixes two of them is told as the likelier one, and kept.
+calibrate: a temperature by likelihood, and two bars under which a text is rejected. One is on the score, so that
+``REJECTED`` of the calibration texts fall under it, but never over ``MOST_REJECT`` times what a guess among the languages
+would score: a text that mixes two of them is told as the likelier one, and kept. The other is on the familiarity, the mean
+over the text's subwords of their log frequency in the language that has them most, as far from the held-back spans' median as
+is usual for so many subwords, repeated words counting once. It lies midway between the held-back spans' lowest ``REJECTED`` and the highest of the same
+spans with their letters dealt anew, or at the former where these overlap. Texts in a language not learnt and gibberish fall
+under it, mixtures do not.
 
 The model is linear before the softmax, so each subword's contribution to the classes is one row of a table, and a word's
 sum of rows is kept; whole texts are scored, however long.
@@ -37,6 +41,8 @@ BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 FIT_DOCS, SPAN_WORDS, SPANS = 4000, 96, 3
 EPOCHS, STEPS, BATCH, RATE = 6, 1500, 32, 4.0
 REJECTED, MOST_REJECT = 0.001, 1.25
+#: Count added to each bucket for the familiarity, and its variances at least.
+SMOOTH, LEAST_VAR = 0.5, 1e-4
 KEPT_PIECES, STEP = 300_000, 1000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -70,7 +76,7 @@ class Sums:
 
     def __init__(self, classes: int):
         self.at: dict[str, int] = {}
-        self.sums = np.zeros((0, classes + 1))
+        self.sums = np.zeros((0, classes + 2))
 
     def add(self, table: np.ndarray, pieces: list[str]) -> None:
         if not pieces:
@@ -92,25 +98,47 @@ class Sums:
 
 @dataclass
 class Model:
-    """languages, the contribution of each bucket to each (BUCKETS x languages), offsets, temperature, least score."""
+    """languages, the contribution of each bucket to each and its familiarity (BUCKETS x languages + 1), offsets,
+    temperature, least score, the mean familiarity, its variances between texts and of a subword, its least deviation."""
 
     languages: list[str]
     table: np.ndarray
     offset: np.ndarray
     temperature: float = 1.0
     reject: float = 0.0
+    usual: tuple[float, float, float] = (0.0, 1.0, 0.0)
+    strange: float = -np.inf
 
-    def logits(self, texts: list[str | None], known: Sums) -> tuple[np.ndarray, np.ndarray]:
-        """The classes' logits of each text and whether it has a letter."""
+    def logits(self, texts: list[str | None], known: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The classes' logits of each text, its familiarity, and its number of subwords, 0 if it has no letter."""
         split = [(t or "").lower().split() for t in texts]
         known.add(self.table, list({p for pieces in split for p in pieces if p not in known.at}))
-        out = np.zeros((len(texts), len(self.languages) + 1))
+        out = np.zeros((len(texts), len(self.languages) + 2))
         place, sums = known.at.__getitem__, known.sums
         for i, pieces in enumerate(split):
             if pieces:
                 out[i] = sums[np.fromiter(map(place, pieces), np.int64, len(pieces))].sum(axis=0)
         n = out[:, -1]
-        return out[:, :-1] / np.maximum(n, 1)[:, None] + self.offset, n > 0
+        means = out[:, :-1] / np.maximum(n, 1)[:, None]
+        return means[:, :-1] + self.offset, means[:, -1], n
+
+    def deviation(self, familiar: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How far the familiarity of texts of n subwords is from the usual, in standard deviations."""
+        mean, between, within = self.usual
+        return (familiar - mean) / np.sqrt(between + within / np.maximum(n, 1))
+
+    def judge(self, texts: list[str | None], known: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best class, its score, whether the text has a letter, and whether it is rejected."""
+        logits, familiar, n = self.logits(texts, known)
+        best, score = self.predict(logits)
+        real = n > 0
+        strange = np.flatnonzero(real & (self.deviation(familiar, n) < self.strange))
+        # A word said over and over tells no more than once.
+        once = [" ".join(dict.fromkeys((texts[i] or "").lower().split())) for i in strange.tolist()]
+        _, familiar, n = self.logits(once, known)
+        rejected = ~real | (score < self.reject)
+        rejected[strange] |= self.deviation(familiar, n) < self.strange
+        return best, score, real, rejected
 
     def predict(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best class and its calibrated probability."""
@@ -161,13 +189,28 @@ def train(spans: list[tuple[str, str]], seed: int = 7) -> Model:
             offset -= rate * p.sum(axis=0)
             sizes = np.diff(np.r_[cuts, len(ids)])
             np.add.at(embed, ids, -rate * share[:, None] * np.repeat(back, sizes, axis=0))
-    return Model(languages, embed @ weight, offset)
+    seen = np.zeros((len(languages), BUCKETS))
+    for (ids, counts), k in zip(bags, ys):
+        seen[k, ids] += counts
+    familiar = np.log((seen + SMOOTH) / (seen.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)).max(axis=0) if languages else np.zeros(BUCKETS)
+    return Model(languages, np.column_stack([embed @ weight, familiar.astype(np.float32)]), offset)
+
+
+def dealt_anew(texts: list[str], seed: int = 7) -> list[str]:
+    """The texts with the letters of all dealt over their words: gibberish of the same lengths."""
+    rng = np.random.default_rng(seed)
+    words = [LETTERS.findall(t.lower()) for t in texts]
+    letters = iter(rng.permutation(list("".join(w for found in words for w in found))).tolist())
+    return [" ".join("".join(next(letters) for _ in w) for w in found) for found in words]
 
 
 def calibrate(model: Model, spans: list[tuple[str, str]]) -> Model:
     """Sets the temperature and the score of rejection by held-back spans."""
     spans = [s for s in spans if s[0] in model.languages]
-    logits, real = model.logits([t for _, t in spans], Sums(len(model.languages))) if spans else (np.zeros((0, 1)), np.zeros(0, bool))
+    if not spans:
+        return model
+    logits, familiar, n = model.logits([t for _, t in spans], Sums(len(model.languages)))
+    real = n > 0
     if not real.any():
         return model
     y = np.array([model.languages.index(lang) for lang, _ in spans])[real]
@@ -181,6 +224,14 @@ def calibrate(model: Model, spans: list[tuple[str, str]]) -> Model:
     model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
     _, score = model.predict(logits)
     model.reject = float(min(MOST_REJECT / len(model.languages), np.quantile(score, REJECTED)))
+    # The variance of a mean of n subwords is that between texts and a share of that within: a line over 1 / n.
+    off = (familiar[real] - np.median(familiar[real])) ** 2
+    within, between = np.polyfit(1 / n[real], off, 1, w=n[real]) if len(set(n[real])) > 1 else (0.0, off.mean())
+    model.usual = (float(np.median(familiar[real])), max(float(between), LEAST_VAR), max(float(within), LEAST_VAR))
+    _, odd, m = model.logits(dealt_anew([t for _, t in spans]), Sums(len(model.languages)))
+    low = float(np.quantile(model.deviation(familiar, n)[real], REJECTED))
+    high = float(np.quantile(model.deviation(odd, m)[real], 1 - REJECTED))
+    model.strange = (low + high) / 2 if high < low else low
     return model
 
 
@@ -221,7 +272,7 @@ def fit(
     if not fitted:
         fitted, held = held, []
     if not fitted:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0, np.float32))
     return calibrate(train(fitted, seed), held)
 
 
@@ -237,15 +288,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 known.shrink()
                 batch = whole.slice(at, STEP)
                 if model.languages:
-                    logits, real = model.logits(batch.column(1).to_pylist(), known)
-                    best, score = model.predict(logits)
+                    best, score, real, rejected = model.judge(batch.column(1).to_pylist(), known)
                 else:
-                    real = np.zeros(batch.num_rows, bool)
+                    real, rejected = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows, bool)
                     best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
                 names = [model.languages[b] if r else UNKNOWN for b, r in zip(best.tolist(), real.tolist())]
                 score = np.where(real, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(~real | (score < model.reject))],
+                    [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
                     [id_col, "lang_pred", "score", "rejected"],
                 )
 
@@ -266,8 +316,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
                 known.shrink()
                 batch = whole.slice(start, STEP)
                 if model.languages:
-                    logits, real = model.logits(batch.column(at).to_pylist(), known)
-                    keep = real & (model.predict(logits)[1] >= model.reject)
-                    yield batch.filter(pa.array(keep))
+                    rejected = model.judge(batch.column(at).to_pylist(), known)[-1]
+                    yield batch.filter(pa.array(~rejected))
 
     return df.mapInArrow(run, df.schema)

@@ -23,6 +23,21 @@ def test_held_out_accuracy(docs, model):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_unlearned_texts_go_and_mixtures_stay(spark, docs, model):
+    rng = np.random.default_rng(3)
+    scripts = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join("".join(rng.choice(list(s), 6)) for _ in range(n)) for s in scripts for n in (20, 100, 1000) for _ in range(5)]
+    held = docs.where(id_fold("doc_id", 4) == 2).where("length(text) > 600").orderBy("doc_id").collect()
+    texts += langid.dealt_anew([r["text"] for r in held[:40]])
+    mixed = [a["text"][:300] + " " + b["text"][:300] for a, b in zip(held, held[1:]) if a["lang"] != b["lang"]]
+    assert len(mixed) > 20
+    rows = [(i, t) for i, t in enumerate(texts + mixed)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    rejected = {r["doc_id"] for r in found if r["rejected"]}
+    assert rejected >= set(range(len(texts)))
+    assert len(rejected) - len(texts) <= 0.02 * len(mixed)
+
+
 def test_subwords_by_hand():
     ids, of = langid.subwords(["ab", "c"])
     # <ab>: itself, 3 pairs, 2 triples, 1 of four; <c>: itself, 2 pairs, 1 triple.
