@@ -76,7 +76,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: All windows of 400 bytes (800 hexadecimal digits) counted by their digest, and gaps and islands over the repeated ones.
-OP5_SQL = """
+#: The characters of what is left are UTF-8 sequences; other bytes are halves of cut characters.
+OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM d, unnest(range(0, length(h) // 2 - 399)) u(i)),
 s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
@@ -85,9 +86,12 @@ k AS (SELECT r, i, sum(cut) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
 a AS (SELECT r, span, min(i) AS b, max(i) + 400 AS e FROM k GROUP BY r, span),
 x AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM a),
 y AS (SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head
-  FROM x JOIN d USING (r) GROUP BY r)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE concat(head, substr(h, 2 * last + 1)) END)) AS kept_sha256 FROM d LEFT JOIN y USING (r)
+  FROM x JOIN d USING (r) GROUP BY r),
+z AS (SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN h ELSE concat(head, substr(h, 2 * last + 1)) END AS kept FROM d LEFT JOIN y USING (r))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256, n_bytes - n_removed AS n_kept,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(kept, '[0-7].|C[2-9A-F][89AB].|D.[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|'
+    || 'F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|..'), lambda c: length(c) > 2 OR c < '8'), ''))) AS text FROM z
 """
 
 

@@ -12,7 +12,7 @@ the input. A shard's suffix array is built by induced sorting, and its permuted
    instead, which deals one key's runs over many shards.
 3. In a shard, runs are cut into bins by the distance to the key's gram; windows of a bin share a core of bytes, and only
    pieces whose core occurs twice, in different surroundings, remain for the suffix array. It takes pooled pieces.
-4. Found starts go back to their texts, and the texts' other bytes are kept.
+4. Found starts go back to their texts, and the texts' other bytes are kept, as bytes or their digest and as text.
 
 Defined results: null texts count as empty; texts shorter than ``length`` stay whole; repeated rows are repeats of each
 other; a null id is an id. Columns other than those named are dropped; an empty table gives no rows.
@@ -64,16 +64,16 @@ def bins_of(content: bytes, key: int, length: int) -> list[tuple[int, int, int,
 
 
 class Shard:
-    """Finds repeated starts in runs (key, content, count); yields (run's number, first, last) of them."""
+    """Finds repeated starts in runs (name, content, count); yields (run's name, first, last) of them."""
 
     def __init__(self, length: int):
         self.length = length
         self.pieces: list[tuple[bytes, int, int]] = []
-        self.refs: list[list[tuple[int, int]]] = []
+        self.refs: list[list[tuple]] = []
         self.bytes = 0
 
-    def group(self, key: int, runs: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int, int]]:
-        """runs: (number, content, how often) of one key, contents all different."""
+    def group(self, key: int, runs: list[tuple]) -> Iterator[tuple]:
+        """runs: (name, content, how often) of one key, contents all different; a name is what a result is called by."""
         cores: dict[bytes, list[tuple[int, int, int, int]]] = {}
         for place, (_, content, _) in enumerate(runs):
             for first, last, core, distance in bins_of(content, key, self.length):
@@ -126,7 +126,7 @@ def _row_key(id_col: str, text_col: str) -> list:
 
 
 def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """rows(r1, r2, text) -> texts(r1, r2, text) with a repeated key, and spans(r1, r2, spans: array of first, last)."""
+    """rows(id, r1, r2, text) -> the rows with the runs of repeated keys, null if none, and spans(r1, r2, spans)."""
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +149,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                     ["r1", "r2", "key", "content"],
                 )
 
-    texts = rows.where(F.octet_length("text") >= length)
+    texts = rows.where(F.octet_length("text") >= length).select("r1", "r2", "text")
     runs = written(texts.mapInArrow(winnow, "r1 long, r2 long, key long, content long"), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     keys = keys.where("n > 1").select(
@@ -161,7 +161,8 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     found = runs.join(keys, F.col("key") == F.col("k")).groupBy("r1", "r2").agg(
         F.collect_set(F.struct("key", "content", "kind")).alias("runs")
     )
-    texts = written(texts.join(found, ["r1", "r2"]), "texts")
+    rows = written(rows.join(found, ["r1", "r2"], "left"), "texts")
+    texts = rows.where("runs is not null")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs to compare: shard's key, run's key, content's hash, offset of the piece, bytes, how often."""
@@ -207,18 +208,13 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard's and run's key; each distinct piece once, with how often it came."""
         shard = Shard(length)
-        names: list[tuple[int, int, int]] = []
         held: dict[tuple[int, int, bytes], int] = {}
         now, out = None, []
 
         def close() -> None:
             if len(held) > 1 or any(n > 1 for n in held.values()):
-                runs = []
-                for (content, offset, raw), n in held.items():
-                    runs.append((len(names), raw, n))
-                    names.append((now[1], content, offset))
-                for number, a, b in shard.group(now[1] % (1 << 64), runs):
-                    key, content, offset = names[number]
+                runs = [((now[1], content, offset), raw, n) for (content, offset, raw), n in held.items()]
+                for (key, content, offset), a, b in shard.group(now[1] % (1 << 64), runs):
                     out.append((key, content, a + offset, b + offset))
 
         def give() -> pa.RecordBatch:
@@ -239,8 +235,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 yield give()
         if now is not None:
             close()
-        for number, a, b in shard.flush():
-            key, content, offset = names[number]
+        for (key, content, offset), a, b in shard.flush():
             out.append((key, content, a + offset, b + offset))
         if out:
             yield give()
@@ -263,65 +258,58 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     )
     mixed = listed.where(F.col("kind") != WHOLE).join(starts, ["key", "content"]).select("r1", "r2", "key", "content", "starts")
     spans = whole.union(mixed).groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "content", "starts")).alias("spans"))
-    return texts.select("r1", "r2", "text"), spans
+    return rows, spans
 
 
 def remove_repeats(
     df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
 ) -> DataFrame:
-    """A row per row: the id, n_bytes, n_removed, n_spans, and kept (binary), or with digests its SHA-256."""
+    """A row per row: the id, n_bytes, n_removed, n_spans, kept (binary), or with digests its SHA-256, n_kept and text.
+
+    text is what is left as text: a character that a cut has broken goes as a whole.
+    """
     if length < 2 * GRAM + BIN:
         raise ValueError("length is too small for the grams")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(*_row_key(id_col, text_col), text.alias("text"))
-    texts, spans = repeated_spans(rows, length)
+    rows, spans = repeated_spans(df.select(F.col(id_col).alias("id"), *_row_key(id_col, text_col), text.alias("text")), length)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, n_spans, kept = [], [], []
-            for text, found in zip(batch.column(2), batch.column(3)):
+            removed, n_spans, kept, rest = [], [], [], []
+            for text, found in zip(batch.column(1), batch.column(2)):
                 raw = text.as_py().encode("utf-8", "replace")
-                starts = {(s["key"], s["content"]): s["starts"] for s in found.as_py()}
-                keys, first, last, held = runs_of(raw, length)
+                starts = {(s["key"], s["content"]): s["starts"] for s in found.as_py() or ()}
+                keys, first, last, held = runs_of(raw, length) if starts else ([],) * 4
                 signed = np.array(held, np.uint64).view(np.int64).tolist()
                 own: list[tuple[int, int]] = []
-                for key, c, i, j in zip(keys.view(np.int64).tolist(), signed, first.tolist(), last.tolist()):
+                for key, c, i, j in zip(np.array(keys, np.uint64).view(np.int64).tolist(), signed, first, last):
                     if (key, c) in starts:
                         at = starts[key, c]
-                        own += [(i, j)] if at is None else [(i + s["first"], i + s["last"]) for s in at]
+                        own += [(int(i), int(j))] if at is None else [(int(i) + s["first"], int(i) + s["last"]) for s in at]
                 left, n = kept_bytes(raw, own, length)
                 removed.append(len(raw) - len(left))
                 n_spans.append(n)
                 kept.append(hashlib.sha256(left).hexdigest() if digests else left)
+                rest.append(left.decode("utf-8", "ignore"))
+            counts = [pa.array(x, pa.int64()) for x in (removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(removed, pa.int64()),
-                    pa.array(n_spans, pa.int64()),
-                    pa.array(kept, pa.string() if digests else pa.binary()),
-                ],
-                ["r1", "r2", "n_removed", "n_spans", "kept"],
+                [batch.column(0), batch.column(3), *counts, pa.array(kept, pa.string() if digests else pa.binary()), pa.array(rest)],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept", "text"],
             )
 
-    kind = "string" if digests else "binary"
-    changed = (
-        texts.join(spans, ["r1", "r2"])
-        .select("r1", "r2", "text", "spans")
-        .mapInArrow(apply, f"r1 long, r2 long, n_removed long, n_spans long, kept {kind}")
-        .dropDuplicates(["r1", "r2"])
-    )
-    raw = text.cast("binary")
-    whole = df.select(
-        F.col(id_col),
-        *_row_key(id_col, text_col),
-        F.length(raw).cast("long").alias("n_bytes"),
-        (F.sha2(raw, 256) if digests else raw).alias("__own"),
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    none = F.lit(0).cast("long")
+    raw = F.col("text").cast("binary")
+    whole = rows.where("runs is null").select(
+        "id", n_bytes, none.alias("n_removed"), none.alias("n_spans"), (F.sha2(raw, 256) if digests else raw).alias("kept"), "text"
     )
-    return whole.join(changed, ["r1", "r2"], "left").select(
-        id_col,
+    changed = rows.where("runs is not null").join(spans, ["r1", "r2"], "left").select("id", "text", "spans", n_bytes)
+    return whole.union(changed.mapInArrow(apply, whole.schema)).select(
+        F.col("id").alias(id_col),
         "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept", "__own").alias("kept_sha256" if digests else "kept"),
+        "n_removed",
+        "n_spans",
+        F.col("kept").alias("kept_sha256" if digests else "kept"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+        "text",
     )

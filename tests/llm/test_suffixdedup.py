@@ -10,7 +10,7 @@ from lodestone.llm.winnow import segments
 
 
 def brute(texts, length):
-    """(n_bytes, n_removed, n_spans, digest) of each text."""
+    """(n_bytes, n_removed, n_spans, digest, bytes left, text left) of each text."""
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[s : s + length] for r in raws for s in range(len(r) - length + 1))
     out = []
@@ -21,7 +21,7 @@ def brute(texts, length):
                 gone[s : s + length] = b"\1" * length
         kept = bytes(x for x, g in zip(r, gone) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest(), len(kept), kept.decode("utf-8", "ignore")))
     return out
 
 
