@@ -10,8 +10,9 @@ the input. A shard's suffix array is built by induced sorting, and its permuted
 2. Texts with such keys are written with the list of these runs. A run whose key has one content only is repeated as a
    whole. The others' bytes go to shards by key; keys of more than ``HOT`` runs go by the hash of a core of the window
    instead, which deals one key's runs over many shards.
-3. In a shard, runs are cut into bins by the distance to the key's gram; windows of a bin share a core of bytes, and only
-   pieces whose core occurs twice, in different surroundings, remain for the suffix array. It takes pooled pieces.
+3. In a shard, runs are cut into bins by the distance to the key's gram; windows of a bin share a core of bytes. Pieces
+   whose core occurs in different surroundings go to the suffix array, which takes pooled pieces; of the others, those
+   that occur twice are repeated as a whole.
 4. Found starts go back to their texts, and the texts' other bytes are kept, as bytes or their digest and as text.
 
 Defined results: null texts count as empty; texts shorter than ``length`` stay whole; repeated rows are repeats of each
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 from lodestone.llm.suffixes import shared_starts
-from lodestone.llm.winnow import GRAM, gram_hashes, segments
+from lodestone.llm.winnow import GRAM, MIX, gram_hashes, mixed, segments, substring_hashes, sums_of
 
 #: Window starts of a bin; bytes that a suffix array takes at once; runs of a key from which it is dealt by cores.
-BIN, POOL, HOT = 16, 1_500_000, 50_000
+BIN, POOL, HOT = 16, 1_500_000, 5_000
+#: Bytes of runs that are cut into bins at once.
+BATCH = 400_000
 #: Bytes of different pieces that a task gathers, and counts, before it sends them.
 GATHERED = 16_000_000
 #: Kinds of runs: repeated as a whole, to compare by key, to compare by cores.
@@ -49,60 +53,118 @@ def runs_of(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys, first, last, held
 
 
-def bins_of(content: bytes, key: int, length: int) -> list[tuple[int, int, int, int]]:
-    """(first start, last start, core's begin, first distance) of the bins of a run."""
-    raw = np.frombuffer(content, np.uint8)
-    at = np.flatnonzero(gram_hashes(raw) == np.uint64(key))
-    starts = np.arange(len(raw) - length + 1)
-    # The last gram of the key in the window: the same in equal windows.
-    gram = at[np.searchsorted(at, starts + length - GRAM, side="right") - 1]
-    number = (gram - starts) // BIN
-    cuts = np.r_[0, np.flatnonzero((np.diff(gram) != 0) | (np.diff(number) != 0)) + 1, len(starts)]
-    first, last = cuts[:-1], cuts[1:] - 1
-    core = gram[first] - number[first] * BIN
-    return list(zip(first.tolist(), last.tolist(), core.tolist(), (gram - starts)[first].tolist()))
+@dataclass
+class Bins:
+    """Window starts that share a core, first to last, by place: the run, its starts, the core's and the piece's hash."""
+
+    run: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    core: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def of(cls, contents: list[bytes], keys: np.ndarray, length: int) -> Bins:
+        """The bins of runs, which are given by their bytes and their keys."""
+        raw = np.frombuffer(b"".join(contents), np.uint8)
+        sizes = np.array([len(c) for c in contents])
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        sums = sums_of(raw)
+        h = gram_hashes(raw, sums=sums)
+        at = np.flatnonzero(h == np.repeat(keys, sizes)[: len(h)])
+        at = at[at + GRAM <= ends[np.searchsorted(ends, at, side="right")]]
+        counts = sizes - length + 1
+        run = np.repeat(np.arange(len(contents)), counts)
+        starts = np.arange(len(run)) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+        # The last gram of the key in the window: the same in equal windows.
+        gram = at[np.searchsorted(at, starts + length - GRAM, side="right") - 1]
+        number = (gram - starts) // BIN
+        new = np.flatnonzero((np.diff(run) != 0) | (np.diff(gram) != 0) | (np.diff(number) != 0)) + 1
+        cuts = np.concatenate([[0], new])
+        first, last, run = starts[cuts], starts[np.append(new, len(starts)) - 1], run[cuts]
+        core = gram[cuts] - number[cuts] * BIN
+        what = ((gram[cuts] - first) * 64 + (last - first)).astype(np.uint64)
+        piece = mixed(substring_hashes(sums, first, last + length) ^ (what * MIX))
+        core = substring_hashes(sums, core, core + length - BIN + 1)
+        return cls(run, first - begins[run], last - begins[run], core, piece)
 
 
 class Shard:
-    """Finds repeated starts in runs (name, content, count); yields (run's name, first, last) of them."""
+    """Finds repeated starts in runs (name, key, content, count); yields (names, first, last) of them.
+
+    Runs of a key come together, with different contents. Pieces with equal hashes, of 64 bits beside the key's and the
+    core's, are equal.
+    """
 
     def __init__(self, length: int):
         self.length = length
+        self.held: list[tuple[tuple, int, int, bytes, int]] = []
+        self.groups = self.size = 0
         self.pieces: list[tuple[bytes, int, int]] = []
-        self.refs: list[list[tuple]] = []
+        self.refs: list[tuple[tuple, int] | None] = []
         self.bytes = 0
 
-    def group(self, key: int, runs: list[tuple]) -> Iterator[tuple]:
-        """runs: (name, content, how often) of one key, contents all different; a name is what a result is called by."""
-        cores: dict[bytes, list[tuple[int, int, int, int]]] = {}
-        for place, (_, content, _) in enumerate(runs):
-            for first, last, core, distance in bins_of(content, key, self.length):
-                cores.setdefault(content[core : core + self.length - BIN + 1], []).append((place, first, last, distance))
-        for met in cores.values():
-            same: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            weight: dict[tuple[int, bytes], int] = {}
-            for place, first, last, distance in met:
-                number, content, count = runs[place]
-                what = distance, content[first : last + self.length]
-                same.setdefault(what, []).append((number, first))
-                weight[what] = weight.get(what, 0) + count
-            for what, refs in same.items():
-                starts = len(what[1]) - self.length + 1
-                if weight[what] >= 2:
-                    yield from ((number, first, first + starts - 1) for number, first in refs)
-                if len(same) > 1:
-                    self.pieces.append((what[1], starts, min(2, weight[what])))
-                    self.refs.append([] if weight[what] >= 2 else refs)
-                    self.bytes += len(what[1])
-        if self.bytes >= POOL:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[tuple[int, int, int]]:
+    def group(self, key: int, runs: list[tuple[tuple, bytes, int]]) -> Iterator[tuple[tuple, int, int]]:
+        """runs: (name, content, how often) of one key; a name is what a result is called by."""
+        self.held += [(name, key, self.groups, content, count) for name, content, count in runs]
+        self.groups += 1
+        self.size += sum(len(content) for _, content, _ in runs)
+        if self.size >= BATCH:
+            yield from self.sort_out()
+
+    def sort_out(self) -> Iterator[tuple[tuple, int, int]]:
+        """Compares the pieces of the runs held, and leaves to the suffix array those that stand beside different ones."""
+        if not self.held:
+            return
+        names, keys, groups, contents, counts = zip(*self.held)
+        self.held, self.groups, self.size = [], 0, 0
+        keys = np.array(keys, np.uint64)
+        parts, at = [], 0
+        while at < len(contents):
+            end, size = at + 1, len(contents[at])
+            while end < len(contents) and size < BATCH:
+                size += len(contents[end])
+                end += 1
+            bins = Bins.of(list(contents[at:end]), keys[at:end], self.length)
+            bins.run += at
+            parts.append(bins)
+            at = end
+        run, first, last, core, piece = (np.concatenate([getattr(b, f) for b in parts]) for f in ("run", "first", "last", "core", "piece"))
+        core = mixed(core ^ (np.array(groups, np.uint64)[run] * MIX))
+        order = np.lexsort((piece, core))
+        run, first, last, core, piece = (x[order] for x in (run, first, last, core, piece))
+        new_core = np.concatenate([[True], core[1:] != core[:-1]])
+        new_piece = new_core | np.concatenate([[True], piece[1:] != piece[:-1]])
+        of_piece = np.cumsum(new_piece) - 1
+        weight = np.bincount(of_piece, np.array(counts, np.float64)[run])
+        of_core = (np.cumsum(new_core) - 1)[new_piece]
+        several = np.bincount(of_core)[of_core] > 1
+        twice = weight >= 2
+        where = np.flatnonzero(twice[of_piece])
+        yield from zip([names[i] for i in run[where].tolist()], first[where].tolist(), last[where].tolist())
+        for i, own in zip(np.flatnonzero(new_piece)[several].tolist(), twice[several].tolist()):
+            a, b, r = int(first[i]), int(last[i]), int(run[i])
+            self.pieces.append((contents[r][a : b + self.length], b - a + 1, 1 + own))
+            self.refs.append(None if own else (names[r], a))
+            self.bytes += b - a + self.length
+            if self.bytes >= POOL and new_core[i]:
+                # The piece just added begins another core.
+                kept = self.pieces.pop(), self.refs.pop()
+                yield from self.flush()
+                self.pieces, self.refs, self.bytes = [kept[0]], [kept[1]], len(kept[0][0])
+
+    def end(self) -> Iterator[tuple[tuple, int, int]]:
+        yield from self.sort_out()
+        yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[tuple, int, int]]:
         if self.pieces:
-            for refs, shared in zip(self.refs, shared_starts(self.pieces, self.length)):
-                edges = np.diff(np.r_[0, shared.astype(np.int8), 0])
-                spans = list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist()))
-                yield from ((number, first + a, first + b) for number, first in refs for a, b in spans)
+            for ref, shared in zip(self.refs, shared_starts(self.pieces, self.length)):
+                if ref:
+                    edges = np.diff(np.concatenate([[0], shared.astype(np.int8), [0]]))
+                    spans = zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist())
+                    yield from ((ref[0], ref[1] + a, ref[1] + b) for a, b in spans)
         self.pieces, self.refs, self.bytes = [], [], 0
 
 
@@ -184,10 +246,9 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                     if kind == MIXED:
                         pieces = [(key, key, c, 0, content)]
                     else:
-                        pieces = []
-                        for a, b, core, _ in bins_of(content, key % (1 << 64), length):
-                            shard = xxhash.xxh3_64_intdigest(content[core : core + length - BIN + 1]) - (1 << 63)
-                            pieces.append((shard, key, c, a, content[a : b + length]))
+                        bins = Bins.of([content], np.array([key % (1 << 64)], np.uint64), length)
+                        cut = zip(bins.core.view(np.int64).tolist(), bins.first.tolist(), bins.last.tolist())
+                        pieces = [(shard, key, c, a, content[a : b + length]) for shard, a, b in cut]
                     for piece in pieces:
                         size += 0 if piece in out else len(piece[4])
                         out[piece] = out.get(piece, 0) + 1
@@ -235,7 +296,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 yield give()
         if now is not None:
             close()
-        for (key, content, offset), a, b in shard.flush():
+        for (key, content, offset), a, b in shard.end():
             out.append((key, content, a + offset, b + offset))
         if out:
             yield give()

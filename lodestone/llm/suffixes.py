@@ -4,7 +4,7 @@ Suffixes are classified as smaller (S) or larger (L) than their right neighbour.
 are sorted by one round of induction and named; if names repeat, the string of names is sorted recursively; a second
 round induces the whole array from the sorted LMS suffixes. Both rounds are linear. A small alphabet is induced bucket by
 bucket in numpy, in waves (a bucket's entries put their predecessors of the same symbol into the bucket's next wave);
-names, of which there may be as many as symbols, are induced symbol by symbol.
+names, of which there may be as many as symbols, are induced in blocks of the array.
 """
 
 from __future__ import annotations
@@ -88,34 +88,49 @@ def _induce(s: np.ndarray, kind: np.ndarray, lms: np.ndarray, size: int) -> np.n
     return sa
 
 
+def _scan(s: np.ndarray, sa: np.ndarray, take: np.ndarray, place: np.ndarray, down: bool) -> None:
+    """One pass of induction over sa, in blocks that end where an entry of the block would be put into the block itself."""
+    n, k, width = len(s), 0, 64
+    sign = -1 if down else 1
+    scanned = sa[::-1] if down else sa
+    while k < n:
+        end = min(n, k + width)
+        wave = scanned[k:end]
+        at = np.flatnonzero(wave > 0)
+        before = wave[at] - 1
+        fit = take[before]
+        at, before = at[fit] + k, before[fit]
+        width *= 2
+        if len(before):
+            chars = s[before]
+            order = np.argsort(chars, kind="stable")
+            sorted_ = chars[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            to = np.empty(len(order), np.int64)
+            to[order] = place[sorted_] + sign * rank
+            least = int((n - 1 - to).min() if down else to.min())
+            if least < end:
+                end = least
+                count = int(np.searchsorted(at, end))
+                to, before, chars = to[:count], before[:count], chars[:count]
+                width = max(16, (end - k) * 2)
+            sa[to] = before
+            place[chars] = to + sign
+        k = end
+
+
 def _induce_long(s: np.ndarray, kind: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """As _induce, symbol by symbol, for alphabets of many symbols."""
+    """As _induce, for alphabets of many symbols: block by block, as the entries of a block seldom meet in it."""
     n = len(s)
     counts = np.bincount(s, minlength=size)
     ends = np.cumsum(counts)
-    text, smaller = s.tolist(), kind.tolist()
-    sa = [-1] * n
-    place = ends.tolist()
-    for i in lms[::-1].tolist():
-        c = text[i]
-        place[c] -= 1
-        sa[place[c]] = i
-    place = (ends - counts).tolist()
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not smaller[j]:
-            c = text[j]
-            sa[place[c]] = j
-            place[c] += 1
-    place = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and smaller[j]:
-            c = text[j]
-            place[c] -= 1
-            sa[place[c]] = j
+    sa = np.full(n, -1, np.int64)
+    _append(sa, s, lms[::-1], ends.copy(), down=True)
+    _scan(s, sa, ~kind, ends - counts, down=False)
+    _scan(s, sa, kind, ends - 1, down=True)
     sa[0] = n - 1
-    return np.array(sa, np.int64)
+    return sa
 
 
 def _suffix_array(s: np.ndarray, size: int) -> np.ndarray:

@@ -22,19 +22,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each run of ``gram`` bytes: the same for the same bytes wherever they stand."""
-    up, down = _powers(len(raw))
+def sums_of(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums from which substring_hashes() tells the hash of any run of bytes."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_FIRST[raw] * up, dtype=np.uint64, out=sums[1:])
-    h = sums[gram:] - sums[:-gram]
-    h *= down[: len(h)]
+    np.cumsum(_FIRST[raw] * _powers(len(raw))[0], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= MIX
     h ^= h >> np.uint64(29)
     return h
 
 
+def substring_hashes(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes first..end: the same for the same bytes wherever they stand."""
+    return mixed((sums[end] - sums[first]) * _powers(len(sums))[1][first])
+
+
+def gram_hashes(raw: np.ndarray, gram: int = GRAM, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of ``gram`` bytes: the same for the same bytes wherever they stand."""
+    sums = sums_of(raw) if sums is None else sums
+    h = sums[gram:] - sums[:-gram]
+    h *= _powers(len(raw))[1][: len(h)]
+    return mixed(h)
+
+
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, by prefix and suffix minima of blocks."""
     n = len(h)
