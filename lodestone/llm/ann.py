@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, POOL, SHARE, LEAST = 128, 32, 8, 0.1, 512
+TREES, BITS, POOL, SHARE, LEAST = 128, 32, 4, 0.1, 512
 BLOCK_ROWS, LEAST_BLOCKS, CHUNK_ROWS = 100_000, 8, 50_000
 #: Queries that ascend at once.
 STEP = 256
@@ -66,7 +66,7 @@ class Forest:
         lows, highs = [], []
         last = np.full(len(q), -1)
         # Beyond this many bits a prefix is shared by hardly anything but its longest match.
-        for level in range(min(BITS, 4 + self.n.bit_length()), -1, -1):
+        for level in range(min(BITS, self.n.bit_length()), -1, -1):
             low, high = (np.empty((len(codes), len(q)), np.int32) for _ in range(2))
             for t, code in enumerate(codes):
                 prefix = code >> (BITS - level) << (BITS - level)
@@ -131,16 +131,15 @@ def block_neighbours(
         met: list[tuple[float, int]] = []
         order = np.argsort(-score, kind="stable")
         for s, place_of in zip(score[order].tolist(), c[order].tolist()):
-            if len(met) >= k and s < met[-1][0]:
+            if len(met) >= k and s < met[k - 1][0]:
                 break
             # Ids of a class ascend, so its first k + 1 hold all that can rank, the query's own left out.
             members = ids[by_class[starts[place_of] : min(starts[place_of + 1], starts[place_of] + k + 1)]].tolist()
             if query_id in members and (own[place_of] == q).all():
                 members.remove(query_id)
             met += [(s, i) for i in members]
-            met.sort(key=lambda m: (-m[0], m[1]))
-            del met[k:]
-        out += [(n, query_id, i, s) for s, i in met]
+        met.sort(key=lambda m: (-m[0], m[1]))
+        out += [(n, query_id, i, s) for s, i in met[:k]]
     return out
 
 
