@@ -1,11 +1,16 @@
 """Secret scans: fixed patterns, and novelty measured with dictionary-primed zstandard.
 
-The patterns (assign, access, hex) always report. Beside them, a candidate is a token of secret-like characters, with a
-letter and a digit in it, that stands in sensitive context: one of ``WORDS`` occurs within ``REACH`` code points before
-it. Its novelty is what it adds to the compressed size of its surroundings, in bytes for each of its own, with a
-zstandard compressor primed by a dictionary of code words and of the identifiers around it. An identifier or a repeated
-string costs next to nothing; a candidate that hardly compresses is reported as ``novel``. Candidates that overlap a
-pattern's span are not reported twice.
+The patterns (assign, access, hex) always report. Beside them, a candidate is a run of secret-like characters in sensitive
+context: one of ``WORDS`` stands within ``REACH`` code points before or after it, or in it (what follows the word is the
+candidate then). Its novelty is the bytes that it adds to the compressed size of the window it stands in, by a zstandard
+compressor primed with a dictionary of code words, of the text before and after the window and of the identifiers there;
+what is on trial is cut out of all. A known word, an identifier or a string that also stands outside sensitive context
+costs next to nothing, an unknown word of the usual letters about half of its bytes; a string that costs ``LEAST_NEW``
+bytes, and ``NOVEL`` for each of its own, is reported as ``novel``. Candidates that overlap a pattern's span are not
+reported twice.
+
+Windows have ``AROUND`` code points, and as many on either side make the dictionary; each window that holds candidates has
+one, and texts take time in proportion to their length.
 
 Defined results: a null or empty text has no spans; whole texts are scanned, however long; positions are code points,
 ends exclusive. Only the columns named are read, so others may have any name; an empty table gives no rows.
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +40,14 @@ WORDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_k
          "authorization", "private key", "access key", "signature")
 REACH = 64
 CONTEXT = re.compile("|".join(map(re.escape, WORDS)), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{12,}")
+#: Runs of secret-like characters; what an edge of a run may have that is not its own.
+RUN = re.compile(r"[A-Za-z0-9+/_.\-]+={0,2}")
+EDGE_BEFORE, EDGE_AFTER = "+/_.-=", "+/_.-"
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
-#: Code points around a candidate that count as its surroundings, and the novelty from which it is reported.
-AROUND, NOVEL = 2048, 0.6
+#: Code points of a window of surroundings, and the novelty, in bytes for each byte and in all, that is reported.
+AROUND, NOVEL, LEAST_NEW, LEVEL = 1024, 0.8, 10, 12
+#: What a frame adds to the bytes of a string that cannot be compressed.
+FRAME = 3
 
 CODE_WORDS = (
     "import from return def class self None True False public static void private protected final string int float "
@@ -50,25 +60,30 @@ CODE_WORDS = (
     "null undefined https http www com org net json xml yaml html utf-8 base64 sha256 md5 application content-type"
 )
 
+#: Plain words that are not in the dictionary: what letters cost where a window has few.
+PREFACE = (
+    "the quick answers of many people about their own work often depend on how much time they have had to think it over "
+    "before someone asks them again and nobody likes being asked twice so a good listener waits"
+)
 
-def _size(text: str, dictionary: str) -> int:
-    primed = zstandard.ZstdCompressionDict(
-        dictionary.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT
-    )
-    frame = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False).compress(
-        text.encode("utf-8", "replace")
-    )
-    return len(frame)
 
+class Surroundings:
+    """A window and the dictionary of what is around it; measures what strings add to it."""
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of text[start:end] in its surroundings, for each of its own bytes."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    names = " ".join(dict.fromkeys(IDENTIFIER.findall(before + " " + after)))
-    dictionary = f"{CODE_WORDS} {names} {after} {before}"
-    own = text[start:end]
-    tail = before[-32:]
-    return (_size(tail + own, dictionary) - _size(tail, dictionary)) / max(1, len(own.encode("utf-8", "replace")))
+    def __init__(self, window: str, around: str):
+        names = " ".join(dict.fromkeys(IDENTIFIER.findall(around)))
+        raw = f"{around} {names} {CODE_WORDS}".encode("utf-8", "replace")
+        primed = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=LEVEL)
+        self.compress = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False, write_dict_id=False).compress
+        # The window is compressed with the string, so that its letters, not just its words, are what is usual. Text without
+        # repeats makes the letters of a short window usual, too.
+        self.window = f"{PREFACE} {window} ".encode("utf-8", "replace")
+        self.before = len(self.compress(self.window))
+
+    def added(self, own: str) -> int:
+        """Marginal compressed bytes of a string."""
+        return len(self.compress(self.window + own.encode("utf-8", "replace"))) - self.before
 
 
 _HEX_DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -80,7 +95,7 @@ def may_have_hex(text: str) -> bool:
     return bool(_HEX_DIGIT[raw[: len(raw) // 12 * 12]].reshape(-1, 12).all(axis=1).any())
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
+def base_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans (start, kind's number, end) of the fixed patterns."""
     found = []
     if ":" in text or "=" in text:
@@ -92,27 +107,69 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, int]]:
-    """Spans of candidates in sensitive context whose novelty is at least ``least``."""
-    found, taken = [], {}
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs in sensitive context, by start; one pass over the text's words and runs."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    found = []
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        # The last word that begins before the run's end: in the run, before it, or none.
+        last = bisect_left(starts, end) - 1
+        if last >= 0 and ends[last] > start:
+            start, near = min(ends[last], end), True
+        else:
+            near = last >= 0 and start - ends[last] <= REACH
+        own = text[start:end]
+        start += len(own) - len(own.lstrip(EDGE_BEFORE))
+        end -= len(own) - len(own.rstrip(EDGE_AFTER))
+        near = near or (last + 1 < len(words) and starts[last + 1] - end <= REACH)
+        if near and end - start >= LEAST_NEW - FRAME:
+            found.append((start, end))
+    return found
+
+
+def without(text: str, spans: list[tuple[int, int]], begin: int, end: int) -> str:
+    """text[begin:end] without what of the spans, which are in order, is in it."""
+    out, at = [], begin
+    for a, b in spans:
+        out.append(text[at : max(at, min(a, end))])
+        at = max(at, min(b, end))
+    return " ".join(x for x in [*out, text[at:end]] if x)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], novel: float = NOVEL) -> list[tuple[int, int, int]]:
+    """Spans of candidates in sensitive context whose novelty is at least ``novel`` for each byte."""
     low = text.lower()
     if not any(w in low for w in WORDS):
-        return found
-    for word in CONTEXT.finditer(text):
-        # A token that the reach cuts off at its end is read to its end.
-        for m in CANDIDATE.finditer(text, word.end(), len(text)):
-            if m.start() > word.end() + REACH:
-                break
-            if m.start() in taken:
-                continue
-            taken[m.start()] = True
-            own = m[0]
-            if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
-                continue
-            if any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            if novelty(text, m.start(), m.end()) >= least:
-                found.append((m.start(), 3, m.end()))
+        return []
+    runs = candidates(text)
+    taken: list[list[int]] = []
+    for start, _, end in base:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    tried = sorted([*runs, *map(tuple, taken)])
+    found, at, first = [], 0, 0
+    window, around = -1, None
+    for start, end in runs:
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at < len(taken) and taken[at][0] < end:
+            continue
+        if start // AROUND != window:
+            window = start // AROUND
+            edges = [min(len(text), max(0, (window + k) * AROUND)) for k in (-1, 0, 1, 2)]
+            while first < len(tried) and tried[first][1] <= edges[0]:
+                first += 1
+            cut = tried[first : bisect_left(tried, (edges[3],))]
+            before, own, after = (without(text, cut, a, b) for a, b in zip(edges, edges[1:]))
+            around = Surroundings(own, f"{before} {after}")
+        own = text[start:end]
+        new = around.added(own)
+        if new >= LEAST_NEW and new >= novel * len(own.encode("utf-8", "replace")):
+            found.append((start, 3, end))
     return found
 
 
