@@ -2,9 +2,10 @@
 
 A text's words are lower-cased runs of letters; a word's subwords are its character n-grams, with marks for its ends,
 and itself, hashed into ``BUCKETS`` embeddings. The mean of a text's embeddings goes into a linear softmax; embeddings
-and softmax are trained by stochastic gradient descent in numpy on the driver. The fit takes spans of at most
-``SPAN_WORDS`` words of a hash sample of about ``FIT_DOCS`` labelled documents. A fifth of them are held back to
-calibrate: a temperature by likelihood, and two bars under which a text is rejected. One is on the score, so that
+and softmax are trained by stochastic gradient descent in numpy on the driver. The fit takes a hash sample of about
+``FIT_DOCS`` labelled documents, as many of each language, equal texts once: their whole texts, as counts of subwords, and
+``SPANS`` spans of at most ``SPAN_WORDS`` words of each, so that short texts are learnt, too. A fifth of them are held
+back to calibrate by their spans: a temperature by likelihood, and two bars under which a text is rejected. One is on the score, so that
 ``REJECTED`` of the calibration texts fall under it, but never over ``MOST_REJECT`` times what a guess among the languages
 would score: a text that mixes two of them is told as the likelier one, and kept. The other is on the familiarity, the mean
 over the text's subwords of their log frequency in the language that has them most, as far from the held-back spans' median as
@@ -22,13 +23,13 @@ other than those named are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ REJECTED, MOST_REJECT = 0.001, 1.25
 #: Count added to each bucket for the familiarity, and its variances at least.
 SMOOTH, LEAST_VAR = 0.5, 1e-4
 KEPT_PIECES, STEP = 300_000, 1000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
+#: Words of a text that are hashed at once.
+WORDS = 20_000
 UNKNOWN = "und"
 
 
@@ -150,9 +153,20 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
 
-def train(spans: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of (language, text) spans, without calibration."""
-    languages = sorted({lang for lang, _ in spans})
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's subwords, and how often each comes."""
+    words = LETTERS.findall(text.lower())
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(words), WORDS):
+        total += np.bincount(subwords(words[at : at + WORDS])[0], minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
+def train(spans: list[tuple[str, str]], whole: Iterable[tuple[str, np.ndarray, np.ndarray]] = (), seed: int = 7) -> Model:
+    """A model of (language, text) spans and (language, buckets, counts) of texts, without calibration."""
+    whole = list(whole)
+    languages = sorted({lang for lang, _ in spans} | {lang for lang, _, _ in whole})
     rng = np.random.default_rng(seed)
     number = {lang: i for i, lang in enumerate(languages)}
     bags, ys = [], []
@@ -161,6 +175,10 @@ def train(spans: list[tuple[str, str]], seed: int = 7) -> Model:
         if len(ids):
             bags.append(np.unique(ids, return_counts=True))
             ys.append(number[lang])
+    for lang, ids, counts in whole:
+        if len(ids):
+            bags.append((ids, counts))
+            ys.append(number[lang])
     y = np.array(ys, np.int64)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, offset = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -238,42 +256,49 @@ def calibrate(model: Model, spans: list[tuple[str, str]]) -> Model:
 def fit(
     df: DataFrame, docs: int = FIT_DOCS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model:
-    """A calibrated model of the labelled rows of df; rows without a label are left out. The ids only sample."""
-    key = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20))
+    """A calibrated model of the labelled rows of df; rows without a label are left out. The text's hash samples."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    n = labelled.select("lang").count()
-    labelled = labelled.where(F.col("key") < int((1 << 20) * min(1.0, docs / max(n, 1))) + 1).drop("key")
+    key = F.xxhash64("text", F.lit(seed))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0, np.float32))
+    parts = 1 << 30
+    share = {lang: int(parts * min(1.0, docs / len(sizes) / max(n, 1))) for lang, n in sizes.items()}
+    bar = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+    # Equal texts share a hash: each comes once, however many copies there are.
+    labelled = labelled.where(F.pmod(key, F.lit(parts)) <= bar).dropDuplicates(["lang", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of each document, the longest first, at places that its key tells."""
+        """Of each document its counts of subwords, and spans, the longest first, at places that its key tells."""
         for batch in batches:
-            out: list[tuple[str, str, int]] = []
+            out: list[tuple] = []
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 key = zlib.crc32(text.encode("utf-8", "replace"))
                 words, rng = text.split(), np.random.default_rng(key)
+                spans = []
                 for i in range(SPANS):
                     size = SPAN_WORDS >> (2 * i)
                     at = int(rng.integers(0, max(1, len(words) - size + 1)))
-                    out.append((lang, " ".join(words[at : at + size])[: 32 * SPAN_WORDS], key))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
-                ["lang", "span", "key"],
-            )
-
-    got = labelled.mapInArrow(cut, "lang string, span string, key long").toPandas()
-    got = got.sort_values(["key", "lang", "span"]).itertuples(index=False)
-    rows = [(r.lang, r.span, r.key) for r in got]
+                    spans.append(" ".join(words[at : at + size])[: 32 * SPAN_WORDS])
+                ids, counts = bag(text)
+                out.append((lang, spans, key, ids.astype(np.int32), counts))
+            kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            cols = list(zip(*out)) if out else [()] * len(kinds)
+            names = ["lang", "spans", "key", "ids", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    # To the driver go the counts of about ``docs`` texts, no more than BUCKETS of each, and their spans.
+    got = labelled.mapInArrow(cut, "lang string, spans array<string>, key long, ids array<int>, counts array<long>").collect()
+    got = sorted(got, key=lambda r: (r["key"], r["lang"], r["spans"]))
     # Copies of a text share its key, so they never stand on both sides.
-    fitted = [(lang, t) for lang, t, k in rows if k % 5]
-    held = [(lang, t) for lang, t, k in rows if k % 5 == 0]
+    fitted, held = [r for r in got if r["key"] % 5], [r for r in got if r["key"] % 5 == 0]
     if not fitted:
         fitted, held = held, []
-    if not fitted:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0, np.float32))
-    return calibrate(train(fitted, seed), held)
+    spans = [(r["lang"], t) for r in fitted for t in r["spans"]]
+    whole = [(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in fitted]
+    return calibrate(train(spans, whole, seed), [(r["lang"], t) for r in held for t in r["spans"]])
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

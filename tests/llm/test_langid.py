@@ -38,6 +38,34 @@ def test_unlearned_texts_go_and_mixtures_stay(spark, docs, model):
     assert len(rejected) - len(texts) <= 0.02 * len(mixed)
 
 
+def test_symbols_that_are_no_letters(spark, model):
+    """Fractions, powers, Roman and circled numbers are no letters; letters of any script are."""
+    texts = ["½ ²³ ①② Ⅷ 42 _ !", "½x", "ª", "ʰ", "漢", "١٢٣"]
+    found = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    rows = {r["doc_id"]: r["lang_pred"] == "und" for r in found.collect()}
+    assert rows == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_a_rare_language_and_copies(spark):
+    """A language of few documents is learnt beside copies that are most of the rows."""
+    rng = np.random.default_rng(9)
+    made = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    rows = [("xx", made("abcdefgh")) for _ in range(400)] + [("yy", made("mnopqrst")) for _ in range(12)]
+    rows += [("xx", rows[0][1])] * 3000
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = langid.fit(df, docs=100)
+    assert model.languages == ["xx", "yy"]
+    test = spark.createDataFrame([(0, made("abcdefgh")), (1, made("mnopqrst"))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.identify(test, model).orderBy("doc_id").collect()] == ["xx", "yy"]
+
+
+def test_whole_texts_are_counted():
+    text = "one two three " * 30_000
+    ids, counts = langid.bag(text)
+    once, of = langid.subwords(["one", "two", "three"])
+    assert counts.sum() == 30_000 * len(once) and set(ids) == set(once)
+
+
 def test_subwords_by_hand():
     ids, of = langid.subwords(["ab", "c"])
     # <ab>: itself, 3 pairs, 2 triples, 1 of four; <c>: itself, 2 pairs, 1 triple.
