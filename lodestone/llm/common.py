@@ -60,8 +60,19 @@ def _at_exit() -> None:
 
 def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
     """A broadcast of a value of bounded size whose classes travel along, as an executor need not have this package."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+    return sent(spark, cloudpickle.dumps(value))
+
+
+def sent(spark: SparkSession, value: bytes) -> Callable[[], object]:
+    """A broadcast of a pickled value; what loads it holds on to nothing, so many can be loaded in turn."""
+    broadcast = spark.sparkContext.broadcast(value)
+
+    def load() -> object:
+        value = pickle.loads(broadcast.value)
+        broadcast.__dict__.pop("_value", None)
+        return value
+
+    return load
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,8 +10,11 @@ or the second half of its words if it has just one sentence; a part under five w
 one run but for its first or last word is held to the share of its words, so that no edge word of a short part decides; an
 item of five words or more is also held where it stands verbatim with its ends inside longer words.
 
-The index is built of items in blocks of at most ``MOST_ITEMS`` items and ``MOST_CHARS`` code points, the documents are
-searched once for each block, and a block is what is broadcast, so its size is bounded whatever the benchmark's.
+Document frequencies and the mean length are those of all items, and a passage's size goes with the item's class of length
+(``SHORT`` words, twice, four times as many and so on), so scores do not depend on how the items are indexed. The index is
+built by Spark in blocks of one class, of about ``MOST_ITEMS`` items and ``MOST_CHARS`` code points. One pass over the
+documents searches the blocks, each of which is a broadcast of bounded size, in turn; a task holds one block, and
+``HELD`` code points of documents if there are more blocks than one.
 
 Defined results: words are runs of letters and digits, case-folded; items without one (null and blank ones are such) match
 nothing, nor do such texts; repeated rows and repeated items are reported one by one. Whole texts
@@ -24,19 +27,24 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.llm.common import shipped
+from lodestone.llm.common import sent, written
 
 K1, B, SHINGLE, OVERLAP, THRESHOLD = 1.2, 0.75, 5, 0.8, 0.6
-MOST_ITEMS, MOST_CHARS, LEAST_PASSAGE = 4000, 4_000_000, 128
+MOST_ITEMS, MOST_CHARS, HELD = 4000, 4_000_000, 8_000_000
+#: Words of the shortest class of items.
+SHORT = 64
 #: Items of a posting block at least, and blocks of an index at most.
 LEAST_BLOCK, MOST_BLOCKS = 8, 64
 WORD = re.compile(r"[^\W_]+")
@@ -61,19 +69,29 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def class_of(size: int) -> int:
+    """0 for items of up to SHORT words, 1 for up to twice as many, and so on."""
+    return max(0, (max(size, 1) - 1) // SHORT).bit_length()
+
+
 class Index:
-    """BM25 postings of items with block maxima; items are (id, text) and known by their places."""
+    """BM25 postings of items with block maxima; items are (id, text) and known by their places.
+
+    df, count and mean: in how many items the words of these are, how many items there are, and their mean length, if the
+    items are a part of all.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]], df: dict[str, int] | None = None, count: int = 0, mean: float = 0.0):
         words = [words_of(t) for _, t in items]
         bags = [Counter(w) for w in words]
         self.texts = [" ".join(w) if len(w) >= SHINGLE else "" for w in words]
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(t or "") for _, t in items]
         sizes = [sum(b.values()) for b in bags]
-        mean = sum(sizes) / max(1, len(sizes)) or 1.0
-        df = Counter(w for b in bags for w in b)
-        idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        if df is None:
+            df, count = Counter(w for b in bags for w in b), len(items)
+            mean = sum(sizes) / max(1, len(sizes)) or 1.0
+        idf = {w: math.log(1 + (count - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         self.terms = {w: i for i, w in enumerate(df)}
         self.postings: list[list[int]] = [[] for _ in df]
         self.impacts: list[list[float]] = [[] for _ in df]
@@ -92,7 +110,7 @@ class Index:
         for t, (p, x) in enumerate(zip(self.postings, self.impacts)):
             np.maximum.at(self.block_max[t], np.array(p) // self.block, np.nextafter(np.array(x, np.float32), np.float32(2)))
         self.bound = np.array([max(x) for x in self.impacts] + [0.0])
-        self.passage = max(LEAST_PASSAGE, 2 * max(sizes, default=0))
+        self.passage = 2 * SHORT << class_of(max(sizes, default=0))
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Places and scores of the items that score at least the threshold against distinct terms, by block-max WAND."""
@@ -162,9 +180,8 @@ class Searcher:
     def __init__(self, index: Index):
         self.index = index
 
-    def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, list[float]]:
+    def leaks(self, every: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, list[float]]:
         """For each verified item its best score, question share, answer share, and the number of passages."""
-        every = words_of(text)
         ids = np.fromiter(map(self.index.terms.get, every, repeat(-1)), np.int64, len(every))
         n, size, step = len(ids), self.index.passage, self.index.passage // 2
         sums = np.concatenate([[0.0], np.cumsum(self.index.bound[ids])])  # bound[-1] is 0
@@ -186,19 +203,67 @@ class Searcher:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of the items in bounded blocks; one block at a time is on the driver."""
-    held: list[tuple[int, str | None]] = []
-    chars = 0
-    rows = items.select(id_col, text_col).where(F.length(F.trim(text_col)) > 0)
-    for row in rows.toLocalIterator():
-        if held and (len(held) == MOST_ITEMS or chars + len(row[1]) > MOST_CHARS):
-            yield Index(held)
-            held, chars = [], 0
-        held.append((row[0], row[1]))
-        chars += len(row[1])
-    if held:
-        yield Index(held)
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[Callable[[], Index]]:
+    """Loaders of the indexes of the items in bounded blocks. Spark builds them; one at a time is on the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(2)]
+            sizes = [len(w) for w in words]
+            kinds = pa.int64(), pa.int32(), pa.list_(pa.string())
+            more = [pa.array(c, k) for c, k in zip((sizes, map(class_of, sizes), [sorted(set(w)) for w in words]), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["n", "id", "text", "size", "class", "terms"])
+
+    texts = items.where(F.length(F.trim(text_col)) > 0)
+    rows = texts.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = written(rows.mapInArrow(read, f"n long, id {kind}, text string, size long, class int, terms array<string>"), "items")
+    rows = rows.where("size > 0")
+    total = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.length("text")).alias("chars")).first()
+    if not total["n"]:
+        return []
+    count, mean = total["n"], float(total["mean"])
+    blocks = max(-(-count // MOST_ITEMS), -(-total["chars"] // MOST_CHARS))
+    each = rows.select("n", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    own = each.join(df, "term").groupBy("n").agg(F.collect_list("term").alias("words"), F.collect_list("df").alias("dfs"))
+    whole = rows.drop("terms").join(own, "n").withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)))
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        known = {w: n for words, dfs in zip(part["words"], part["dfs"]) for w, n in zip(words, dfs)}
+        # Items in the order of their numbers, words in the order of the items: the same index each time.
+        index = Index(list(zip(part["id"].tolist(), part["text"].tolist())), dict(sorted(known.items())), count, mean)
+        return pd.DataFrame({"index": [cloudpickle.dumps(index)]})
+
+    made = whole.select("n", "id", "text", "class", "block", "words", "dfs").groupBy("class", "block").applyInPandas(build, "index binary")
+    return [sent(items.sparkSession, bytes(r["index"])) for r in made.toLocalIterator()]
+
+
+def searched(blocks: list[Callable[[], Index]], groups: Iterator[list[str | None]]) -> Iterator[list[list[tuple]]]:
+    """For each group of texts, the leaks of each text as (item's id, score, question and answer share, passages)."""
+    one = Searcher(blocks[0]()) if len(blocks) == 1 else None
+    for texts in groups:
+        words = [words_of(t) for t in texts]
+        found: list[list[tuple]] = [[] for _ in texts]
+        for load in blocks:
+            searcher = one or Searcher(load())
+            for out, every in zip(found, words):
+                out += [(searcher.index.ids[item], *got) for item, got in sorted(searcher.leaks(every).items())]
+        yield found
+
+
+def grouped(batches: Iterator[pa.RecordBatch], at: int, held: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches, as many together as have ``held`` code points in the column at a place."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += pc.sum(pc.utf8_length(batch.column(at))).as_py() or 0
+        if size >= held:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def find_leaks(
@@ -206,45 +271,56 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each document and item that it leaks: id, item_id, score, question and answer share, passages."""
     kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = items.schema[item_col].dataType.simpleString()
+    item_kind = items.schema[item_col].dataType
+    item_type = to_arrow_type(item_kind)
     names = [id_col, "item_id", "score", "question_overlap", "answer_overlap", "passages"]
-    schema = f"`{id_col}` {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, passages long"
-    out = []
-    for index in item_blocks(items, item_col, text_col):
-        sent = shipped(docs.sparkSession, index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent())
-            for batch in batches:
-                rows, at = [], []
-                for i, text in enumerate(batch.column(1)):
-                    for item, got in sorted(searcher.leaks(text.as_py()).items()):
-                        rows.append((searcher.index.ids[item], *got))
-                        at.append(i)
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), pa.array(cols[0]).cast(item_type), *(pa.array(c, pa.float64()) for c in cols[1:4]), pa.array(map(int, cols[4]), pa.int64())],
-                        names,
-                    )
-
-        item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-        out.append(docs.select(id_col, text_col).mapInArrow(run, schema))
-    if not out:
+    schema = f"`{id_col}` {kind}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double, passages long"
+    blocks = item_blocks(items, item_col, text_col)
+    if not blocks:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.union, out)
+    held = HELD if len(blocks) > 1 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[pa.RecordBatch]] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for group in grouped(batches, 1, held):
+                waiting.append(group)
+                yield [t for batch in group for t in batch.column(1).to_pylist()]
+
+        for found in searched(blocks, texts()):
+            ids = pa.chunked_array([batch.column(0) for batch in waiting.pop()]).combine_chunks()
+            rows = [(i, *row) for i, got in enumerate(found) for row in got]
+            if rows:
+                at, items_, *shares, passages = zip(*rows)
+                own = ids.take(pa.array(at))
+                own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+                cols = [own, pa.array(items_, item_type), *(pa.array(c, pa.float64()) for c in shares), pa.array(passages, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs that leak no item, all columns."""
     at = docs.columns.index(text_col)
-    for index in item_blocks(items, item_col, text_col):
-        sent = shipped(docs.sparkSession, index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(sent())
-            for batch in batches:
-                yield batch.filter(pa.array([not searcher.leaks(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = item_blocks(items, item_col, text_col)
+    if not blocks:
+        return docs
+    held = HELD if len(blocks) > 1 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[pa.RecordBatch]] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for group in grouped(batches, at, held):
+                waiting.append(group)
+                yield [t for batch in group for t in batch.column(at).to_pylist()]
+
+        for found in searched(blocks, texts()):
+            first = 0
+            for batch in waiting.pop():
+                yield batch.filter(pa.array([not got for got in found[first : first + batch.num_rows]], pa.bool_()))
+                first += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

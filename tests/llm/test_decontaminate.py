@@ -65,6 +65,32 @@ def test_finds_every_verbatim_item(spark, sf):
     assert want and want <= {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()}
 
 
+def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch):
+    """Partial leaks, scored with all items in one block and in many, and in another order: the same rows, to the bit."""
+    items = spark.createDataFrame([*items_of(spark, sf), (900, "word " * 150 + "end.")], "item_id long, text string")
+    rng = random.Random(4)
+    texts = []
+    for i, t in items_of(spark, sf):
+        words = t.split()
+        at = rng.randrange(len(words))
+        texts += [" ".join(words[: int(len(words) * 0.85)]), " ".join(words[:at] + ["changed"] + words[at + 1 :]), "before " * 70 + t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, dc.find_leaks(docs, items).collect()))
+    assert len(want) > 40
+    monkeypatch.setattr(dc, "MOST_ITEMS", 3)
+    monkeypatch.setattr(dc, "HELD", 5000)
+    assert sorted(map(tuple, dc.find_leaks(docs, items.orderBy("text").repartition(3)).collect())) == want
+    kept = {r["doc_id"] for r in dc.drop_leaks(docs, items).collect()}
+    assert kept == set(range(len(texts))) - {r[0] for r in want}
+
+
+def test_other_kinds_of_ids(spark):
+    text = "some words that make an item of more than five. And the answer to it is here."
+    items = spark.createDataFrame([("a", text), (None, text)], "item_id string, text string").selectExpr("CAST(NULL AS DATE) AS item_id", "text")
+    docs = spark.createDataFrame([("x", f"he said {text}")], "doc_id string, text string")
+    assert [tuple(r[:2]) for r in dc.find_leaks(docs, items).collect()] == [("x", None)] * 2
+
+
 def test_glued_ends_and_edge_words_of_short_answers(spark):
     question = "ten words make up the question that is asked here."
     items = spark.createDataFrame([(1, f"{question} Five words are the answer."), (2, f"{question} Berlin.")], "item_id long, text string")
