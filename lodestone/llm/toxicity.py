@@ -5,8 +5,11 @@ weights (hashed: the word, its first four and five letters, its last four); the
 1 - prod(1 - p). Only documents are labelled: the noisy-or's likelihood passes the label's gradient on to the sentences
 that explain it. The same sentence scores then locate what offends.
 
-The fit takes a hash sample of about ``FIT_DOCS`` labelled documents of each label, of at most ``FIT_CHARS`` code points
-each, weighted back to the labels' shares, and runs in numpy on the driver. Scoring reads whole texts, however long.
+A bucket takes part whose documents lean to label 1 by ``ASSOCIATED`` standard deviations.
+
+The fit takes a hash sample of about ``FIT_DOCS`` labelled documents of each label, weighted back to the labels' shares,
+and runs in numpy on the driver. Of a text of more than ``FIT_CHARS`` code points it takes as many of its sentences, from
+all over it, chosen by their hash. Scoring reads whole texts, however long.
 
 Defined results: a null or empty text has no sentence and score 0; repeated rows are scored alike; without labels of
 both kinds every score is 0. Columns other than those named are not read; an empty table gives no rows.
@@ -30,8 +33,9 @@ from lodestone.llm.common import shipped
 BUCKETS = 1 << 18
 FIT_DOCS, FIT_CHARS = 3000, 40_000
 EPOCHS, BATCH, RATE, DECAY, START = 8, 32, 1.0, 1e-5, -6.0
-#: Adagrad's first sum of squares, and documents of the fit that must have a bucket.
-FIRST, LEAST_SEEN = 1e-2, 5
+#: Adagrad's first sum of squares; how far, in standard deviations, a bucket's documents must lean to label 1, and how many
+#: of these must have it.
+FIRST, ASSOCIATED, LEAST_SEEN = 1e-2, 3.0, 2
 KEPT_PIECES = 400_000
 SENTENCE = re.compile(r"[.!?;\n]+")
 EDGES = ".,;:!?\"'()[]{}<>*_-|#…«»„“”‘’¿¡"
@@ -57,6 +61,15 @@ def sentences(text: str | None) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def shortened(text: str, most: int = FIT_CHARS) -> str:
+    """The text, or if it is longer than ``most`` sentences of it, chosen by hash, of about so many code points."""
+    if len(text) <= most:
+        return text
+    at = sorted(sentences(text), key=lambda x: zlib.crc32(text[x[0] : x[1]].encode("utf-8", "replace")))
+    ends = np.cumsum([e - s for s, e in at])
+    return "\n".join(text[s:e][:most] for s, e in sorted(at[: max(1, int(np.searchsorted(ends, most)))]))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -88,11 +101,15 @@ def train(bags: list[list[list[int]]], y: np.ndarray, share: np.ndarray, seed: i
     rng = np.random.default_rng(seed)
     theta, offset = np.zeros(BUCKETS), START
     squares, offset_squares = np.full(BUCKETS, FIRST), FIRST
-    # What few documents have could only be learnt by heart.
-    seen = np.zeros(BUCKETS, np.int64)
-    for b in bags:
-        seen[list({i for s in b for i in s})] += 1
-    bags = [[[i for i in s if seen[i] >= LEAST_SEEN] for s in b] for b in bags]
+    # What does not lean to a label could only be learnt by heart, least of all from few documents.
+    seen = np.zeros((2, BUCKETS))
+    for b, label in zip(bags, y):
+        seen[int(label), list({i for s in b for i in s})] += 1
+    positive, count = y.sum(), len(y)
+    rate = seen.sum(axis=0) / count
+    spread = np.sqrt(np.maximum(positive * (1 - positive / count) * rate * (1 - rate), 1e-9))
+    leaning = ((seen[1] - positive * rate) / spread >= ASSOCIATED) & (seen[1] >= LEAST_SEEN)
+    bags = [[[i for i in s if leaning[i]] for s in b] for b in bags]
     flat = [(np.array([i for s in b for i in s], np.int64), np.array([len(s) for s in b], np.int64)) for b in bags]
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
@@ -138,8 +155,14 @@ def fit(
     )
     # About 2 * most rows, whatever the input's size.
     sample = F.broadcast(ready.where(key < least))
-    texts = docs.where(F.length(text_col) <= FIT_CHARS).select(F.col(id_col), F.col(text_col).alias("text"))
-    rows = texts.join(sample, id_col).select("text", "label").toPandas().sort_values(["text", "label"])
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shortened(t) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["text", "label"])
+
+    rows = texts.join(sample, id_col).select("text", "label").mapInArrow(shorten, "text string, label int")
+    rows = rows.toPandas().sort_values(["text", "label"])
     kept: dict[str, list[int]] = {}
     bags = []
     for text in rows["text"]:
@@ -182,7 +205,7 @@ def score_toxicity(
                     free += math.log1p(-min(p, 1 - 1e-12))
                     if p >= offending:
                         found.append({"start": s, "end": e, "p": p})
-                scores.append(-math.expm1(free))
+                scores.append(0.0 - math.expm1(free))
                 where.append(found)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(where, kind)], [id_col, "score", "sentences"]

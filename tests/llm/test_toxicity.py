@@ -40,6 +40,37 @@ def test_held_out_documents_and_sentences(labelled, model):
                 assert "Vile" in rows[r["doc_id"]][1][s["start"] : s["end"]]
 
 
+def test_few_labels(spark):
+    """A small fit learns the words that several of its documents share."""
+    rng = random.Random(4)
+    vocab = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    rows = []
+    for i in range(160):
+        parts = [" ".join(rng.choice(vocab) for _ in range(6)) for _ in range(4)]
+        if i % 8 == 0:
+            parts[rng.randrange(4)] += " vile" + rng.choice(["ness", "ly"])
+        rows.append((i, ". ".join(parts), int(i % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 120").select("doc_id", "toxic"))
+    found = toxicity.score_toxicity(df.where("doc_id >= 120").select("doc_id", "text"), model).collect()
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 8 == 0) for r in found) >= 38
+
+
+def test_long_texts_take_part_by_sentences_from_all_over():
+    text = ". ".join(f"sentence number {i} of many" for i in range(9000)) + "."
+    short = toxicity.shortened(text)
+    numbers = [int(s.split()[2]) for s in short.split("\n")]
+    assert 0.9 * toxicity.FIT_CHARS < len(short) <= 1.2 * toxicity.FIT_CHARS
+    assert numbers == sorted(numbers) and min(numbers) < 100 and max(numbers) > 8900
+    assert toxicity.shortened("short. text") == "short. text" and len(toxicity.shortened("x" * 90_000)) == toxicity.FIT_CHARS
+
+
+def test_scores_are_not_negative_zero(spark):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), -1000.0)
+    rows = toxicity.score_toxicity(spark.createDataFrame([(1, ""), (2, "x")], "doc_id long, text string"), model).collect()
+    assert all(str(r["score"]) == "0.0" for r in rows)
+
+
 def test_noisy_or():
     weights = np.zeros(toxicity.BUCKETS, np.float32)
     weights[toxicity.features("bad")] = 1.0
