@@ -8,8 +8,9 @@ the mean, is over ``threshold``. Listed rules come first.
 
 Defined results: a null url or one without ``://`` has an empty host and path, and the empty host is a host like any
 other; null labels are no labels; labels repeated for a page all count; empty tables give no rows, and without any label
-the prior mean is 0.5, so nothing is blocked. The registered domain is the last two labels of a host, the suffix the
-last one. Other columns of the input are dropped.
+the prior mean is 0.5, so nothing is blocked. The suffix is a host's last label, or the last two where these are one of
+``SECOND`` under a country's two letters (co.uk); the registered domain has one label more. Other columns of the input are
+dropped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Second-level names under which countries register domains.
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Rules that one expression may hold.
 MOST_RULES = 1000
 
@@ -70,9 +73,10 @@ def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> Da
         ),
         "hosts",
     )
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn(
-        "suffix", F.substring_index("host", ".", -1)
-    )
+    two = F.col("host").rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z]{{2}}$")
+    last = [F.substring_index("host", ".", -n) for n in (1, 2, 3)]
+    hosts = hosts.withColumn("suffix", F.when(two, last[1]).otherwise(last[0]))
+    hosts = hosts.withColumn("domain", F.when(two, last[2]).otherwise(last[1]))
     add = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     everything = hosts.agg(*add).first()
     mean = (everything["k"] + 1) / (everything["n"] + 2) if everything["n"] else 0.5

@@ -82,3 +82,12 @@ def test_verdicts_and_edges(spark):
     assert {r["verdict"] for r in rows if r["page_id"] == 100} == {"allow"} and all(r["rule"] is None for r in rows)
     assert [(r["host"], r["path"]) for r in rows if r["page_id"] == 101] == [("", "")] and len(rows) == 62
     assert urlfilter.filter_urls(pages.limit(0), labels, URL_RULES).count() == 0
+
+
+def test_registered_domains_under_countries(spark):
+    """co.uk is a suffix: what one of its domains does is not the other's."""
+    hosts = ["a.bad.co.uk"] * 60 + ["b.bad.co.uk", "c.good.co.uk", "co.uk", "x.uk"]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, host string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(61, 0)], "page_id long, bad int")
+    got = {r["host"]: r["mean"] for r in urlfilter.host_reputation(pages, labels).collect()}
+    assert got["b.bad.co.uk"] > got["c.good.co.uk"] and len(got) == 5
