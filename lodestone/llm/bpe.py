@@ -39,10 +39,46 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: What a vocabulary file may ask for: other settings would be encoded wrongly.
+SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "post_processor": None,
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": ..., "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": ..., "use_regex": False},
+        ],
+    },
+    "added_tokens": [{"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}],
+}
+
+
+def differences(wanted: object, got: object, at: str = "") -> list[str]:
+    """Where settings are not as wanted; ... stands for any, and the one entry of added_tokens for each."""
+    if wanted is ...:
+        return []
+    if isinstance(wanted, dict) and isinstance(got, dict):
+        return [d for k, v in wanted.items() for d in differences(v, got.get(k) or (None if v is None else got.get(k)), f"{at}/{k}")]
+    if isinstance(wanted, list) and isinstance(got, list):
+        if at == "/added_tokens":
+            wanted = wanted * len(got)
+        if len(wanted) == len(got):
+            return [d for i, (v, w) in enumerate(zip(wanted, got)) for d in differences(v, w, f"{at}/{i}")]
+    return [] if (wanted or None) == (got or None) else [at]
+
+
 class Tokenizer:
-    """A byte-level BPE vocabulary with word ends, in the tokenizers library's JSON format."""
+    """A byte-level BPE vocabulary with word ends, in the tokenizers library's JSON format; refuses other settings."""
 
     def __init__(self, spec: dict):
+        if odd := differences(SETTINGS, {"added_tokens": [], **spec}):
+            raise ValueError(f"this vocabulary file has settings that are not supported: {', '.join(odd)}")
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]

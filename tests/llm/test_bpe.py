@@ -59,3 +59,16 @@ def test_tokenize(both, edge_docs, no_docs):
     digests = {r["doc_id"]: r for r in bpe.tokenize(edge_docs, PATH, digests=True).collect()}
     assert digests[4]["ids_sha256"] == digests[4]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     assert bpe.tokenize(no_docs, PATH).count() == 0
+
+
+def test_other_settings_are_refused():
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"model": {**spec["model"], "dropout": 0.1}}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Tokenizer({**spec, **change})
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="added_tokens"):
+        bpe.Tokenizer(spec)
