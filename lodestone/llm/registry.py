@@ -37,9 +37,10 @@ OP1_SQL = """
 WITH RECURSIVE bits AS (SELECT i AS n, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
   UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
-d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, md5(concat_ws(':', 'lodestone', CAST(doc_id AS VARCHAR))) AS key FROM documents),
-b AS (SELECT doc_id, source, key, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+a AS (SELECT doc_id, source, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2),
     lambda i: CAST(concat('0x', substr(h, i, 2)) AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+b AS (SELECT *, md5(concat_ws(':', 'lodestone', doc_id, text_crc32, size, row_number() OVER (PARTITION BY doc_id, source, text_crc32, size))) AS key FROM a),
 r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 1) / (2.0::double * count(*) OVER (PARTITION BY source)) AS f FROM b),
 p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, key, doc_id) - 1 AS pos, count(*) OVER () AS n FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(((pos + 1) * 16 - 1) // n AS INT) AS shard, CAST(pos - ((pos + 1) * 16 - 1) // n * n // 16 AS BIGINT) AS slot,
@@ -112,7 +113,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
@@ -122,7 +123,8 @@ WITH u AS (
   SELECT doc_id AS page_id, CASE WHEN toxic IS NULL AND quality IS NULL THEN NULL
     ELSE CAST(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 AS INT) END AS bad FROM labels
 ), h AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT host, array_to_string(string_split(host, '.')[(CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN -3 ELSE -2 END):], '.') AS domain,
+    array_to_string(string_split(host, '.')[(CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN -2 ELSE -1 END):], '.') AS suffix,
     count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN l USING (page_id) GROUP BY host
 ), g AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 1.0::double) / (sum(n) + 2) ELSE 0.5 END AS m FROM h
 ), s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(g.m) AS m FROM h, g GROUP BY suffix

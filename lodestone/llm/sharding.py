@@ -4,9 +4,11 @@ Within each source the rows are shuffled by a seeded hash and ranked; row r of n
 (2r + 1) / 2n. Sorting all rows by fractional rank interleaves the sources in proportion, so any contiguous cut holds
 the mixture; the order is cut into shards whose row counts differ by one at most (law ``rows``).
 
-Both rankings are distributed. The seeded hash is uniform, so its leading digits deal each source, hot ones too, into
-even buckets; a row's rank is its bucket's offset plus its place in the bucket. The second ranking deals by fractional
-rank, which is even by construction, and its offsets follow in closed form from the sources' sizes.
+Both rankings are distributed. The hash is of the seed, the id, the text's CRC-32 and size and, for rows alike in all that
+is read, their number among these; it is uniform, so its leading digits deal each source, and each id, hot ones too, into
+even buckets. A row's rank is its bucket's offset plus its place in the bucket. The second ranking deals by fractional
+rank, which is even by construction, and its offsets follow in closed form from the sources' sizes: from each source
+come as many numbers as it has rows, or as there are buckets, whichever is less.
 
 Defined results: a null source is a stratum of its own; null, empty and long texts count by their bytes; repeated rows
 are placed one by one (they tie, and which of two identical rows comes first does not show); an empty table gives no
@@ -42,8 +44,12 @@ def interleaved_shards(
         F.col(source_col).cast("string").alias("__source"),
         (F.length(text) + 1).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("__key"),
     )
+    # Rows that are alike are counted, and told apart by a number, so that they are dealt like others.
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    rows = alike.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    key = F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in (id_col, "text_crc32", "size", "__copy")))
+    rows = rows.withColumn("__key", F.md5(key.cast("binary")))
     total = df.count()
     buckets = buckets or max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
     rows = rows.withColumn("__bucket", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32))
@@ -58,7 +64,7 @@ def interleaved_shards(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
         F.sum("__n").over(whole).alias("__of"),
     )
-    place = Window.partitionBy("__source", "__bucket").orderBy("__key", F.col(id_col), "text_crc32", "size")
+    place = Window.partitionBy("__source", "__bucket").orderBy("__key", F.col(id_col), "text_crc32", "size", "__copy")
     ranked = (
         rows.join(offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
         .withColumn("__rank", F.col("__offset") + F.row_number().over(place) - 1)
@@ -67,15 +73,23 @@ def interleaved_shards(
         .withColumn("__fraction", F.col("__half") / (2 * F.col("__of")))
     )
 
-    # Rows of a source of n below cell g: those with (2r + 1) * buckets < 2 * n * g.
+    # Of a source of few rows, each row's cell; of others, each cell's rows: those with (2r + 1) * buckets < 2 * n * g, less
+    # those of the cell before.
     sizes = per_bucket.groupBy("__source").agg(F.sum("__n").alias("__of"))
-    below = F.expr(f"greatest(0, least(__of, (2 * __of * __g - {buckets} + 2 * {buckets} - 1) div (2 * {buckets})))")
+    below = "((2 * __of * ({0}) + {1} - 1) div (2 * {1}))"
+    between = f"{below.format('__g + 1', buckets)} - {below.format('__g', buckets)}"
+    few = F.col("__of") < buckets
     cells = (
-        sizes.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        sizes.withColumn("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.least("__of", F.lit(buckets)) - 1)))
+        .select(
+            F.when(few, F.expr(f"(2 * __g + 1) * {buckets} div (2 * __of)")).otherwise(F.col("__g")).cast("int").alias("__g"),
+            F.when(few, F.lit(1).cast("long")).otherwise(F.expr(between)).alias("__n"),
+        )
         .groupBy("__g")
-        .agg(F.sum(below).alias("__start"))
+        .agg(F.sum("__n").alias("__n"))
+        .select("__g", (F.sum("__n").over(Window.orderBy("__g")) - F.col("__n")).alias("__start"))
     )
-    order = Window.partitionBy("__cell").orderBy("__fraction", "__source", "__key", F.col(id_col), "text_crc32", "size")
+    order = Window.partitionBy("__cell").orderBy("__fraction", "__source", "__key", F.col(id_col), "text_crc32", "size", "__copy")
     placed = ranked.join(cells, F.col("__cell") == F.col("__g")).withColumn(
         "__at", F.col("__start") + F.row_number().over(order) - 1
     )

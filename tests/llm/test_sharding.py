@@ -40,14 +40,27 @@ def test_matches_brute_force(spark):
     """Ranks by hand: shuffle each source by the seeded hash, sort by fractional rank, cut."""
     import hashlib
 
-    docs = spark.range(500).selectExpr("id AS doc_id", "concat('s', id % 7) AS source", "'t' AS text")
-    groups = {}
+    # Sources of many rows, of few, and of one; fewer rows than buckets and more.
+    source = "CASE WHEN id < 30 THEN concat('few', id % 7) WHEN id = 30 THEN NULL ELSE concat('s', id % 2) END"
+    docs = spark.range(500).selectExpr("id AS doc_id", f"{source} AS source", "'t' AS text")
+    groups, crc = {}, zlib.crc32(b"t")
     for r in docs.collect():
-        groups.setdefault(r["source"], []).append((hashlib.md5(f"lodestone:{r['doc_id']}".encode()).hexdigest(), r["doc_id"]))
+        key = hashlib.md5(f"lodestone:{r['doc_id']}:{crc}:2:1".encode()).hexdigest()
+        groups.setdefault(r["source"] or "", []).append((key, r["doc_id"]))
     order = sorted(((2 * k + 1) / (2 * len(g)), s, h, d) for s, g in groups.items() for k, (h, d) in enumerate(sorted(g)))
     want = {d: (((at + 1) * 16 - 1) // 500) for at, (*_, d) in enumerate(order)}
-    got = {r["doc_id"]: r["shard"] for r in interleaved_shards(docs, 16).collect()}
-    assert got == want
+    for buckets in (None, 16, 3):
+        got = {r["doc_id"]: r["shard"] for r in interleaved_shards(docs, 16, buckets=buckets).collect()}
+        assert got == want
+
+
+def test_a_hot_id_and_rows_that_are_alike(spark):
+    """They are dealt over the shards like any others."""
+    docs = spark.range(600).selectExpr("if(id < 400, 1, id) AS doc_id", "'s' AS source", "if(id < 300, 'same', concat('t', id)) AS text")
+    rows = interleaved_shards(docs, 4).collect()
+    assert len(rows) == 600 and Counter(r["shard"] for r in rows) == dict.fromkeys(range(4), 150)
+    alike = Counter(r["shard"] for r in rows if r["text_crc32"] == zlib.crc32(b"same"))
+    assert sum(alike.values()) == 300 and min(alike.values()) > 50
 
 
 def test_edges(edge_docs, no_docs):
