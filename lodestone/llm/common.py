@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode an own one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -30,26 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives any executor.
 
-    The table is removed when the driver ends.
+    The table is removed by dropped(), by forget_tables(), which a long session calls between jobs, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path, table))
+    return table
 
 
-def forget_tables() -> None:
-    """Removes the tables that written() has made."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        jvm = spark.sparkContext._jvm
-        if spark.sparkContext._jsc is None or jvm is None:
-            continue
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is not None and jvm is not None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more, as their successors are written."""
+    for at in reversed(range(len(_WRITTEN))):
+        spark, path, table = _WRITTEN[at]
+        if any(table is t for t in tables):
+            del _WRITTEN[at]
+            _remove(spark, path)
+
+
+def forget_tables() -> None:
+    """Removes all tables that written() has made; results that are not yet written out cannot be read afterwards."""
+    while _WRITTEN:
+        spark, path, _ = _WRITTEN.pop()
+        _remove(spark, path)
+
+
 @atexit.register
 def _at_exit() -> None:
     try:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,5 +42,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = (got["n"], got["h"])
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        old, now = now, written(_star(_star(now, large=True), large=False), "edges")
+        dropped(old)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -2,10 +2,12 @@
 
 A covering code's words are the anchors. Each fingerprint has a home anchor within the code's covering radius R and is
 replicated to every anchor within R plus the threshold t; two fingerprints within t of each other then meet at either's
-home. One code over 64 bits would need hundreds of replicas, so the fingerprint is cut into segments with thresholds
+home. The fingerprint is cut into segments with thresholds
 t_i, and whichever way ``t`` differing bits fall, some segment has t_i of them at most (the t_i + 1 add up to t + 1).
 Each segment has its own code: a shortened product of the perfect Hamming [15, 11] code, R = 1, with plain bits, or for
-t_i = 0 all words, R = 0. With (24, 1), (24, 1), (16, 0) a fingerprint has 39 replicas on average for t = 4.
+t_i = 0 all words, R = 0. Fewer segments have more replicas and far more anchors, so the number of fingerprints chooses:
+for t = 4, segments of (24, 24, 16) bits with thresholds (1, 1, 0) and 39 replicas on average for up to two thousand million
+fingerprints, beyond it two segments with thresholds 2 and 1.
 
 Equal fingerprints are counted once. Each anchor's fingerprints are compared where they meet and leave a spanning forest
 of their links, not all pairs. An anchor that is home to more than ``HOT`` fingerprints is dealt out to a grid of cells.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import written
 from lodestone.llm.components import components
 
-#: (bits, threshold) of the segments for each threshold.
-SEGMENTS = {4: ((24, 1), (24, 1), (16, 0))}
 HAMMING_BITS = 15
+#: What a replica costs, in comparisons; bits that a segment with threshold 0, 1 or 2 gets in proportion.
+REPLICA_COST, BITS_OF = 200, (2, 3, 4)
 #: Home fingerprints from which an anchor is dealt out to cells, and hot anchors that may be broadcast.
 HOT, MOST_BROADCAST = 2048, 100_000
 #: Fingerprints of a run that are compared at once with all others of it.
@@ -122,9 +125,38 @@ class SegmentCode:
         return self.named(np.concatenate(anchors)), np.concatenate(index)
 
 
-def codes(threshold: int) -> list[SegmentCode]:
+def segmentations(threshold: int) -> list[list[tuple[int, int]]]:
+    """Ways to cut 64 bits into segments (bits, threshold) of which one is not over its threshold."""
+    ways = []
+    for twos in range(threshold + 1):
+        rest = threshold + 1 - 3 * twos
+        if rest < 0:
+            break
+        parts = [2] * twos + [1] * (rest // 2) + [0] * (rest % 2) if threshold > 1 else [0, 0]
+        whole = sum(BITS_OF[t] for t in parts)
+        bits = [64 * BITS_OF[t] // whole for t in parts]
+        bits[0] += 64 - sum(bits)
+        if all(b <= 40 and (t == 0 or b >= HAMMING_BITS) for b, t in zip(bits, parts)):
+            ways.append(list(zip(bits, parts)))
+    return ways
+
+
+def cost(way: list[tuple[int, int]], count: int) -> float:
+    """Replicas of a fingerprint, and comparisons with its home anchors' others, among ``count`` fingerprints."""
+    total = 0.0
+    for bits, t in way:
+        spread = 1 << (HAMMING_BITS - 11) if t else 1
+        replicas = sum(comb(bits, w) for w in range(t + 2)) / spread if t else 1
+        total += REPLICA_COST * replicas + count * replicas * spread / 2.0**bits
+    return total
+
+
+def codes(threshold: int, count: int = 0) -> list[SegmentCode]:
+    ways = segmentations(threshold)
+    if not ways:
+        raise ValueError("the threshold has no covering of 64 bits by codes of this kind")
     out, shift = [], 0
-    for number, (bits, t) in enumerate(SEGMENTS[threshold]):
+    for number, (bits, t) in enumerate(min(ways, key=lambda w: cost(w, count))):
         out.append(SegmentCode(number, shift, bits, t))
         shift += bits
     return out
@@ -205,7 +237,9 @@ def links_at_anchors(cells: DataFrame, threshold: int) -> DataFrame:
 
 def similar_fingerprints(distinct: DataFrame, threshold: int = 4) -> DataFrame:
     """distinct(fp), each once -> u, v: links between fingerprints at the threshold or closer, enough to connect all."""
-    own = codes(threshold)
+    own = codes(threshold, distinct.count())
+    # Dealt anew, as Spark may have put few bytes of fingerprints, which become many of replicas, into a task or two.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,12 +282,14 @@ def near_duplicates(
 ) -> DataFrame:
     """A row per row: the id, fp (signed long), root (a fingerprint of the component) and component_id."""
     prints = written(fingerprints(df, words_in, seed, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("__least"))
+    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct")
     linked = components(similar_fingerprints(distinct.select("fp"), threshold))
     classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
     classes = classes.select("fp", F.coalesce("root", "fp").alias("root"), "__least")
     least = classes.groupBy("root").agg(F.min("__least").alias("component_id"))
-    classes = classes.select("fp", "root").join(least, "root")
+    # Under a name that Spark does not know to be dealt by root, the join deals both sides anew, so it can split a hot root.
+    least = least.select(F.bitwise_not(F.bitwise_not("root")).alias("of"), "component_id")
+    classes = classes.select("fp", "root").join(least, F.col("root") == F.col("of")).drop("of")
     return prints.join(classes, "fp").select(id_col, "fp", "root", "component_id")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import dropped, written
 from lodestone.llm.suffixes import shared_starts
 from lodestone.llm.winnow import GRAM, MIX, gram_hashes, mixed, segments, substring_hashes, sums_of
 
@@ -224,6 +224,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         F.collect_set(F.struct("key", "content", "kind")).alias("runs")
     )
     rows = written(rows.join(found, ["r1", "r2"], "left"), "texts")
+    dropped(runs, keys)
     texts = rows.where("runs is not null")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,23 +43,33 @@ def test_fingerprints():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-def test_every_pair_within_the_threshold_meets_at_a_home():
+@pytest.mark.parametrize("threshold", range(1, 9))
+@pytest.mark.parametrize("count", [0, 10**10])
+def test_every_pair_within_the_threshold_meets_at_a_home(threshold, count):
     rng = np.random.default_rng(3)
-    own = simhash.codes(4)
-    assert sum(t + 1 for _, t in simhash.SEGMENTS[4]) > 4 and sum(b for b, _ in simhash.SEGMENTS[4]) == 64
-    for _ in range(300):
+    own = simhash.codes(threshold, count)
+    assert all(sum(t + 1 for _, t in way) > threshold and sum(b for b, _ in way) == 64 for way in simhash.segmentations(threshold))
+    for _ in range(60):
         x = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
         y = x
-        for b in rng.choice(64, int(rng.integers(0, 5)), replace=False):
+        for b in rng.choice(64, int(rng.integers(0, threshold + 1)), replace=False):
             y ^= 1 << int(b)
         fx, fy = np.array([x], np.uint64), np.array([y], np.uint64)
         assert any(c.home(fx)[0] in c.replicas(fy)[0] for c in own)
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 8])
-def test_links_match_brute_force(spark, monkeypatch, hot):
-    """Also with anchors dealt out to cells."""
+def test_the_number_of_fingerprints_chooses_the_codes():
+    few, many = ([(c.bits, c.coded) for c in simhash.codes(4, n)] for n in (10**5, 10**10))
+    assert few == [(24, True), (24, True), (16, False)] and len(many) == 2 and all(coded for _, coded in many)
+    with pytest.raises(ValueError):
+        simhash.codes(30)
+
+
+@pytest.mark.parametrize(("hot", "replica_cost"), [(simhash.HOT, simhash.REPLICA_COST), (8, simhash.REPLICA_COST), (simhash.HOT, 0)])
+def test_links_match_brute_force(spark, monkeypatch, hot, replica_cost):
+    """Also with anchors dealt out to cells, and with the codes for many fingerprints."""
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "REPLICA_COST", replica_cost)
     rng = random.Random(4)
     prints = {}
     for i in range(400):
