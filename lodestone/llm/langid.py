@@ -173,7 +173,8 @@ def train(spans: list[tuple[str, str]], whole: Iterable[tuple[str, np.ndarray, n
     for lang, text in spans:
         ids, _ = subwords(LETTERS.findall(text.lower()))
         if len(ids):
-            bags.append(np.unique(ids, return_counts=True))
+            ids, counts = np.unique(ids, return_counts=True)
+            bags.append((ids.astype(np.uint16), counts.astype(np.float32)))
             ys.append(number[lang])
     for lang, ids, counts in whole:
         if len(ids):
@@ -283,21 +284,22 @@ def fit(
                     at = int(rng.integers(0, max(1, len(words) - size + 1)))
                     spans.append(" ".join(words[at : at + size])[: 32 * SPAN_WORDS])
                 ids, counts = bag(text)
-                out.append((lang, spans, key, ids.astype(np.int32), counts))
-            kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                out.append((lang, spans, key, ids.astype("<u2").tobytes(), counts.astype("<f4").tobytes()))
+            kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.binary()]
             cols = list(zip(*out)) if out else [()] * len(kinds)
             names = ["lang", "spans", "key", "ids", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    # To the driver go the counts of about ``docs`` texts, no more than BUCKETS of each, and their spans.
-    got = labelled.mapInArrow(cut, "lang string, spans array<string>, key long, ids array<int>, counts array<long>").collect()
+    # To the driver go the counts of about ``docs`` texts, six bytes for each of a text's subwords, BUCKETS at most, and
+    # their spans.
+    got = labelled.mapInArrow(cut, "lang string, spans array<string>, key long, ids binary, counts binary").toArrow().to_pylist()
     got = sorted(got, key=lambda r: (r["key"], r["lang"], r["spans"]))
     # Copies of a text share its key, so they never stand on both sides.
     fitted, held = [r for r in got if r["key"] % 5], [r for r in got if r["key"] % 5 == 0]
     if not fitted:
         fitted, held = held, []
     spans = [(r["lang"], t) for r in fitted for t in r["spans"]]
-    whole = [(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in fitted]
+    whole = [(r["lang"], np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in fitted]
     return calibrate(train(spans, whole, seed), [(r["lang"], t) for r in held for t in r["spans"]])
 
 
