@@ -477,28 +477,44 @@ register(
 
 
 def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table before the log: the documents, of which every eleventh is a tombstone."""
-    return source(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS file_id", "concat('doc-', doc_id) AS name", "n_chars AS size", "CAST(1700000000000 AS BIGINT) AS modified_ms", "doc_id % 11 = 0 AS is_deleted"
+    """The table before the log: drive C, a directory for each nation, and the documents, of which some are tombstones."""
+    root = spark.sql("SELECT 1000001L AS file_id, CAST(NULL AS BIGINT) AS parent_id, 'C:\\\\' AS name, 'C' AS drive, true AS is_dir, true AS is_root, 0L AS size, 0L AS modified_ms, false AS is_deleted")
+    dirs = source(spark, sf_dir, "nation").selectExpr(
+        "CAST(2000000 + n_nationkey AS BIGINT) AS file_id", "1000001L AS parent_id", "n_name AS name", "'C' AS drive", "true AS is_dir", "false AS is_root", "0L AS size", "0L AS modified_ms", "false AS is_deleted"
     )
+    docs = source(spark, sf_dir, "documents").selectExpr(
+        "doc_id + 1 AS file_id", "2000000 + doc_id % 25 AS parent_id", "concat('doc-', doc_id) AS name", "'C' AS drive", "false AS is_dir", "false AS is_root",
+        "n_chars AS size", "CAST(1700000000000 AS BIGINT) AS modified_ms", "doc_id % 11 = 0 AS is_deleted"
+    )
+    return root.union(dirs).union(docs)
 
 
-CDC_SQL = f"""m AS ({views.mutations_sql()}),
-f AS (SELECT doc_id AS file_id, concat('doc-', doc_id) AS name, n_chars AS size, 1700000000000 AS modified_ms, doc_id % 11 = 0 AS is_deleted FROM documents),
-k AS (SELECT m.*, coalesce(last_value(CASE WHEN op = 'create' THEN true WHEN op = 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY m.file_id ORDER BY usn
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f.file_id IS NOT NULL) AS alive FROM m LEFT JOIN f ON m.file_id = f.file_id AND NOT f.is_deleted),
+CDC_SQL = rf"""f AS (SELECT 1000001 AS file_id, NULL AS parent_id, 'C:\' AS name, 'C' AS drive, true AS is_dir, true AS is_root, 0 AS size, 0 AS modified_ms, false AS is_deleted
+  UNION ALL SELECT 2000000 + n_nationkey, 1000001, n_name, 'C', true, false, 0, 0, false FROM nation
+  UNION ALL SELECT doc_id + 1, 2000000 + doc_id % 25, concat('doc-', doc_id), 'C', false, false, n_chars, 1700000000000, doc_id % 11 = 0 FROM documents),
+m AS ({views.mutations_sql()}),
+p AS (SELECT m.*, coalesce(d.file_id, CASE WHEN upper(m.drive) = 'C' THEN 1000001 END) AS parent_id FROM m LEFT JOIN f d ON m.parent_file_id = d.file_id AND d.is_dir),
+k AS (SELECT p.*, coalesce(last_value(CASE WHEN op = 'create' THEN true WHEN op = 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY p.file_id ORDER BY usn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f.file_id IS NOT NULL) AS alive FROM p LEFT JOIN f ON p.file_id = f.file_id AND NOT f.is_deleted WHERE op <> 'create' OR p.parent_id IS NOT NULL),
 x AS (SELECT *, count(*) FILTER (op = 'create') OVER (PARTITION BY file_id ORDER BY usn) AS life FROM k WHERE alive <> (op = 'create'))"""
 register(
     "r2_apply_batch",
     lambda spark, d: journal.apply_batch(file_table(spark, d), views.mutations(spark, d)),
     f"""WITH {CDC_SQL}, l AS (SELECT file_id, life, arg_max(name, CASE WHEN op IN ('create', 'rename') THEN usn END) AS name,
-      arg_max(size, CASE WHEN op IN ('create', 'metadata') AND size IS NOT NULL THEN usn END) AS size,
+      arg_max(size, CASE WHEN op = 'create' THEN usn END) AS born_size, arg_max(size, CASE WHEN op = 'metadata' AND size IS NOT NULL THEN usn END) AS size,
       arg_max(modified_ms, CASE WHEN op IN ('create', 'metadata') AND coalesce(modified_ms, 0) <> 0 THEN usn END) AS modified_ms,
-      bool_or(op = 'delete') AS gone FROM x GROUP BY file_id, life)
-    SELECT f.file_id, coalesce(CASE WHEN NOT is_deleted THEN l.name END, f.name) AS name, coalesce(CASE WHEN NOT is_deleted THEN l.size END, f.size) AS size,
+      arg_max(parent_id, CASE WHEN op = 'create' THEN usn END) AS parent_id, upper(arg_max(drive, CASE WHEN op = 'create' THEN usn END)) AS drive,
+      coalesce(arg_max(is_directory, CASE WHEN op = 'create' THEN usn END), false) AS is_dir, bool_or(op = 'delete') AS gone FROM x GROUP BY file_id, life)
+    SELECT f.file_id, f.parent_id, coalesce(CASE WHEN NOT is_deleted THEN l.name END, f.name) AS name, f.drive, f.is_dir, f.is_root,
+      coalesce(CASE WHEN NOT is_deleted AND NOT f.is_dir THEN l.size END, f.size) AS size,
       coalesce(CASE WHEN NOT is_deleted THEN l.modified_ms END, f.modified_ms) AS modified_ms, is_deleted OR coalesce(gone, false) AS is_deleted
     FROM f LEFT JOIN l ON f.file_id = l.file_id AND life = 0
-    UNION ALL SELECT file_id, name, coalesce(size, 0), coalesce(modified_ms, 0), gone FROM l WHERE life > 0""",
+    UNION ALL SELECT file_id, parent_id, name, drive, is_dir, false, CASE WHEN is_dir THEN 0 ELSE coalesce(size, born_size, 0) END, coalesce(modified_ms, 0), gone FROM l WHERE life > 0""",
+)
+register(
+    "j6_parents",
+    lambda spark, d: journal.happening(file_table(spark, d), views.mutations(spark, d)).where("op = 'create'").select("usn", "file_id", "parent_id", "name"),
+    f"WITH {CDC_SQL} SELECT usn, file_id, parent_id, name FROM x WHERE op = 'create'",
 )
 register(
     "a10_apply_report",
@@ -514,21 +530,27 @@ register(
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of four journals, of which one is recreated now and then and one rolls over."""
+    """Readings of four journals, of which one is recreated now and then, one rolls over, and one is applied late."""
     return source(spark, sf_dir, "events").selectExpr(
         "concat('vol-', user_id % 4) AS volume_id", "event_id AS seq", "CASE WHEN user_id % 4 = 1 THEN event_id DIV 3000 ELSE 7 END AS journal_id",
         "CASE WHEN user_id % 4 = 2 THEN event_id * 9 - 40 ELSE 0 END AS first_usn",
         "CASE WHEN user_id % 4 = 3 AND event_id % 50 = 0 THEN event_id ELSE event_id * 9 END AS next_usn",
+        "CASE WHEN user_id % 4 = 0 THEN event_id * 9 - 5 * (event_id % 3) WHEN user_id % 4 = 3 AND event_id % 50 = 0 THEN event_id ELSE event_id * 9 END AS applied_usn",
+        "event_id % 1000 AS entries",
     )
 
 
 READINGS_SQL = """r AS (SELECT concat('vol-', user_id % 4) AS volume_id, event_id AS seq, CASE WHEN user_id % 4 = 1 THEN event_id // 3000 ELSE 7 END AS journal_id,
-  CASE WHEN user_id % 4 = 2 THEN event_id * 9 - 40 ELSE 0 END AS first_usn, CASE WHEN user_id % 4 = 3 AND event_id % 50 = 0 THEN event_id ELSE event_id * 9 END AS next_usn FROM events),
-w AS (SELECT *, lag(next_usn) OVER (PARTITION BY volume_id ORDER BY seq) AS was, lag(journal_id) OVER (PARTITION BY volume_id ORDER BY seq) AS was_id FROM r),
+  CASE WHEN user_id % 4 = 2 THEN event_id * 9 - 40 ELSE 0 END AS first_usn, CASE WHEN user_id % 4 = 3 AND event_id % 50 = 0 THEN event_id ELSE event_id * 9 END AS next_usn,
+  CASE WHEN user_id % 4 = 0 THEN event_id * 9 - 5 * (event_id % 3) WHEN user_id % 4 = 3 AND event_id % 50 = 0 THEN event_id ELSE event_id * 9 END AS applied_usn, event_id % 1000 AS entries FROM events),
+w AS (SELECT *, lag(applied_usn) OVER (PARTITION BY volume_id ORDER BY seq) AS was, lag(journal_id) OVER (PARTITION BY volume_id ORDER BY seq) AS was_id FROM r),
 d AS (SELECT volume_id, seq, CASE WHEN was IS NULL THEN 'new-volume' WHEN was_id <> journal_id THEN 'journal-recreated' WHEN was < first_usn THEN 'journal-rolled-over'
-  WHEN was > next_usn THEN 'cursor-ahead' ELSE '' END AS reason, was, next_usn FROM w),
+  WHEN was > next_usn THEN 'cursor-ahead' ELSE '' END AS reason, was, next_usn, applied_usn, entries FROM w),
 g AS (SELECT volume_id, seq, CASE WHEN reason <> '' THEN 'rebuild' WHEN was = next_usn THEN 'up-to-date' ELSE 'incremental' END AS decision, reason,
-  CASE WHEN reason <> '' THEN 0 ELSE was END AS from_usn, CASE WHEN reason <> '' THEN 0 ELSE next_usn END AS to_usn, 'healthy' AS status FROM d)"""
+  CASE WHEN reason <> '' THEN 0 ELSE was END AS from_usn, CASE WHEN reason <> '' THEN 0 ELSE next_usn END AS to_usn,
+  CASE WHEN applied_usn >= next_usn THEN 'healthy' ELSE 'catching-up' END AS status, greatest(0, next_usn - applied_usn) AS lag FROM d),
+t AS (SELECT volume_id, count(*) AS readings, count(*) FILTER (decision = 'rebuild') AS rebuilds, arg_max(to_usn, seq) AS last_to, arg_max(status, seq) AS status,
+  arg_max(lag, seq) AS lag, bool_and(status = 'healthy') AS all_healthy, CAST(coalesce(sum(to_usn - from_usn) FILTER (decision = 'incremental'), 0) AS BIGINT) AS mutations FROM g GROUP BY 1)"""
 register("r3_decisions", lambda spark, d: journal.decisions(readings(spark, d)), f"WITH {READINGS_SQL} SELECT * FROM g")
 register(
     "r12_changes",
@@ -536,9 +558,21 @@ register(
     f"WITH {READINGS_SQL} SELECT * FROM g WHERE decision = 'incremental' AND to_usn > 9000 ORDER BY to_usn, volume_id LIMIT 500",
 )
 register(
-    "a11_journal_totals",
+    "r7_a11_journal_totals",
     lambda spark, d: journal.totals(journal.decisions(readings(spark, d))),
-    f"WITH {READINGS_SQL} SELECT volume_id, count(*) AS readings, count(*) FILTER (decision = 'rebuild') AS rebuilds, arg_max(to_usn, seq) AS last_to, true AS all_healthy FROM g GROUP BY 1",
+    f"WITH {READINGS_SQL} SELECT * FROM t",
+)
+register(
+    "a11_registry",
+    lambda spark, d: journal.registry(journal.totals(journal.decisions(readings(spark, d))), journal.entries(readings(spark, d))).withColumn("degraded", F.array_join("degraded", ",")),
+    f"""WITH {READINGS_SQL}, n AS (SELECT volume_id, arg_max(entries, seq) AS entries FROM r GROUP BY 1) SELECT CAST(sum(entries) AS BIGINT) AS total_entries, bool_and(status = 'healthy') AS all_healthy,
+      coalesce(string_agg(volume_id, ',' ORDER BY volume_id) FILTER (status <> 'healthy'), '') AS degraded FROM t JOIN n USING (volume_id)""",
+)
+register(
+    "a12_supervisor",
+    lambda spark, d: journal.supervisor(journal.totals(journal.decisions(readings(spark, d)))).withColumn("degraded", F.array_join("degraded", ",")),
+    f"""WITH {READINGS_SQL} SELECT count(*) AS workers, count(*) > 0 AND bool_and(status = 'healthy') AS all_healthy,
+      coalesce(string_agg(volume_id, ',' ORDER BY volume_id) FILTER (status <> 'healthy'), '') AS degraded, CAST(sum(mutations) AS BIGINT) AS total_mutations FROM t""",
 )
 
 
@@ -548,7 +582,7 @@ def r3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def per_volume(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, out = journal.fold_volume(key[0], None, rows)
-        return pd.DataFrame(out, columns=["volume_id", "seq", "decision", "reason", "from_usn", "to_usn", "status"])
+        return pd.DataFrame(out, columns=journal.DECIDED)
 
     return readings(spark, sf_dir).groupBy("volume_id").applyInPandas(per_volume, journal.DECISIONS)
 

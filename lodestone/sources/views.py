@@ -16,9 +16,9 @@ _DOC = "concat('doc-', doc_id, '.', lang)"
 _MODIFIED = "1704067200000 + ((doc_id * 7919) % 43200) * 60000"
 _STATE = ("running", "stopped", "start-pending", "stop-pending", "paused", "pause-pending", "continue-pending", "unknown")
 _START = ("auto", "manual", "disabled", "boot", "system", "unknown")
-_STEMS = ("report notes invoice design index search config session project archive visual studio readme budget draft meeting "
-          "backup summary photo chapter").split()
-_EXTS = "rs toml md json pdf txt png ts csv log docx py".split()
+_STEMS = ("atlas", "basil", "cedar", "delta", "ember", "fjord", "grove", "heron", "iris", "jade", "kiln", "lotus", "maple", "nova",
+          "onyx", "pearl", "quartz", "raven", "sable", "tulip")
+_EXTS = ("doc", "xls", "jpg", "mp3", "html", "css", "sql", "pdf", "zip", "ini", "bat", "iso")
 
 
 def _pick(key: str, words) -> str:
@@ -68,7 +68,9 @@ BENCH_FILE = {
     "size": "CAST(floor(l_extendedprice) AS BIGINT) * 100",
 }
 M_LOG = {
-    "usn": "event_id", "volume_id": "concat('vol-', user_id % 4)", "file_id": "user_id",
+    "usn": "event_id", "volume_id": "concat('vol-', user_id % 4)", "file_id": "user_id + 1",
+    "parent_file_id": "CASE WHEN event_id % 4 = 3 THEN 0 ELSE 2000000 + event_id % 30 END",
+    "drive": "CASE WHEN event_id % 5 = 0 THEN 'Z' ELSE 'c' END", "is_directory": "event_id % 6 = 0",
     "op": "CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rename' WHEN 'view' THEN 'metadata' END",
     "name": "concat('file-', user_id, '-', event_id, '.txt')",
     "size": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * 10 END",

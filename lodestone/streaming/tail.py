@@ -1,7 +1,7 @@
-"""The stream that keeps a file table current: each micro-batch of mutations makes a new version of the table.
+"""The stream that keeps a file table current: each micro-batch of mutations adds a delta to the table.
 
-A version is a folder of Parquet; a small pointer file names the current one and the last batch applied, so a batch that
-is replayed after a failure does nothing.
+The delta has the rows of the files that the batch names; the table is merged on reading, and written anew now and then
+(sources/cache.py). The pointer says which batch was the last, so one that is replayed after a failure does nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.sources.cache import read_pointer, write_version
+from lodestone.sources.cache import load, read_pointer, write_delta
 from lodestone.streaming.journal import apply_batch
 
 
@@ -20,8 +20,7 @@ def apply_version(spark: SparkSession, root: str, batch: DataFrame, batch_id: in
         raise FileNotFoundError(f"no table at {root}")
     if now["batch_id"] >= batch_id:
         return False
-    files = spark.read.parquet(f"{root}/{now['version']}")
-    write_version(apply_batch(files, batch), root, batch_id)
+    write_delta(apply_batch(load(spark, root), batch, touched=True), root, "file_id", batch_id)
     return True
 
 
