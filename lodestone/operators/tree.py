@@ -1,38 +1,42 @@
 """Path trees: full paths from parent links, level by level.
 
-Each round joins the level's rows with their children on the parent's id; rows that no root reaches (orphans, cycles)
-never join, so they drop out. Names are stored once, and each round shuffles one level only.
+Each round joins the level's rows with their children on the parent's id and writes the next level; rows that no root
+reaches (orphans, cycles) never join, so they drop out. Names are stored once, and a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import shared_dir
+
 MOST_DEPTH = 1024
 
 
 def paths(tree: DataFrame, separator: str = "\\", most_depth: int = MOST_DEPTH) -> DataFrame:
     """tree(id, parent_id, name) -> id, path, depth. Roots have no parent, themselves or 0 as parent, and end in a separator.
 
-    A recursive query, so that the depth need not be known beforehand.
+    The levels are written as they are found, so that neither their number nor their sizes have a limit but most_depth.
     """
     spark = tree.sparkSession
-    sep = "\\\\" if separator == "\\" else separator
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, path, depth) MAX RECURSION LEVEL {most_depth} AS (
-          SELECT CAST(id AS BIGINT), CAST(name AS STRING), 0 FROM {{tree}}
-          WHERE parent_id IS NULL OR parent_id = id OR parent_id = 0
-          UNION ALL
-          SELECT CAST(t.id AS BIGINT), CONCAT(RTRIM('{sep}', w.path), '{sep}', t.name), w.depth + 1
-          FROM {{tree}} t JOIN walk w ON t.parent_id = w.id
-          WHERE t.parent_id <> t.id AND t.parent_id <> 0
-        )
-        SELECT id, path, depth FROM walk
-        """,
-        tree=tree,
-    )
+    at = f"{shared_dir(spark)}/lodestone/paths-{uuid.uuid4().hex}"
+    rows = tree.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id"), F.col("name").cast("string").alias("name"))
+    top = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("id")) | (F.col("parent_id") == 0)
+    rows.where(top).select("id", F.col("name").alias("path")).write.parquet(f"{at}/depth=0")
+    below = rows.where(~top)
+    for depth in range(most_depth):
+        level = spark.read.schema("id long, path string").parquet(f"{at}/depth={depth}")
+        if level.isEmpty():
+            break
+        above = level.select(F.col("id").alias("__p"), F.rtrim("path", F.lit(separator)).alias("__above"))
+        found = below.join(above, F.col("parent_id") == F.col("__p")).select("id", F.concat("__above", F.lit(separator), "name").alias("path"))
+        found.write.parquet(f"{at}/depth={depth + 1}")
+    else:
+        raise RecursionError(f"paths are deeper than {most_depth}")
+    return spark.read.schema("id long, path string, depth int").option("basePath", at).parquet(at)
 
 
 def consistency(tree: DataFrame) -> DataFrame:

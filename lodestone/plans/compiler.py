@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from lodestone.plans.dsl import parse
 from lodestone.plans.language import compile_phrase
 from lodestone.plans.query import MOST_RESULTS, Filter, SearchQuery, Sort
 
 
+class QueryCompiler(Protocol):
+    """Turns a line into a query and says how; the engine takes any."""
+
+    def compile_detailed(self, line: str) -> CompiledQuery: ...
+
+
 @dataclass(frozen=True)
 class CompiledQuery:
     raw: str
@@ -29,14 +36,22 @@ def compile_detailed(line: str) -> CompiledQuery:
     return CompiledQuery(raw, SearchQuery.plain(raw), "plain-text", ("source: plain-text",))
 
 
+class RuleCompiler:
+    """The compiler of this package: rules only."""
+
+    def compile_detailed(self, line: str) -> CompiledQuery:
+        return compile_detailed(line)
+
+
 def compile_query(
     line: str,
     types: tuple[str, ...] | None = None,
     limit: int | None = None,
     sort: Sort | None = None,
     filters: tuple[Filter, ...] = (),
+    compiler: QueryCompiler | None = None,
 ) -> SearchQuery:
     """A compiled line with a front end's overrides: types and sort replace, filters add; option > line > default limit."""
-    query = compile_detailed(line).query
+    query = (compiler or RuleCompiler()).compile_detailed(line).query
     query = replace(query, types=types or query.types, filters=query.filters + filters, sort=sort or query.sort)
     return replace(query, limit=max(1, min(MOST_RESULTS, limit))) if limit is not None else query

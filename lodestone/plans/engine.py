@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import model
@@ -123,6 +124,28 @@ class Engine:
         return Response(raw, query.to_dsl(), min(len(rows), n), len(rows) > n, rows[:n], warnings)
 
     def explain(self, query: SearchQuery) -> str:
-        return self.search(query)._jdf.queryExecution().explainString(
-            self.providers[0].collect(query).sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        """How each provider found its candidates, where it can tell, and Spark's plan."""
+        found = self.search(query)
+        plan = found._jdf.queryExecution().explainString(
+            found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         )
+        own = [p.explain() for p in self.providers if hasattr(p, "explain")]
+        return "\n".join([*own, plan])
+
+    def timings(self, query: SearchQuery) -> list[tuple[str, int, float]]:
+        """(provider, rows that pass, milliseconds) of each provider asked, each by itself."""
+        out = []
+        for p in self.providers:
+            if query.types and not set(query.types) & set(p.types):
+                continue
+            began = time.perf_counter()
+            rows = Engine([p], self.now, self.ranker).candidates(query).count()
+            out.append((p.name, rows, (time.perf_counter() - began) * 1000))
+        return out
+
+
+def types_present(results: DataFrame) -> DataFrame:
+    """results(rank, entity_type) -> position, entity_type: the types in the order in which they first come."""
+    first = results.groupBy("entity_type").agg(F.min("rank").alias("first"))
+    # A row a type: six at most.
+    return first.select(F.row_number().over(Window.orderBy("first")).alias("position"), "entity_type")

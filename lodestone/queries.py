@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import model
 from lodestone.functions import clock, derive
 from lodestone.functions import text as tx
 from lodestone.operators import catalogue, postings, tree, usage
 from lodestone.plans import ranking
 from lodestone.plans.compiler import compile_detailed
-from lodestone.plans.engine import Engine, Table, order_by
+from lodestone.plans.engine import Engine, Table, order_by, types_present
 from lodestone.plans.query import SearchQuery, Sort
 from lodestone.sources import views
+from lodestone.sources.scratch import shared_dir
 from lodestone.sources.views import NOW_MS, entities, entities_sql, source
 from lodestone.streaming import journal
 
@@ -39,7 +42,8 @@ DAY = 86_400_000
 PREDICATES: dict[str, tuple[str, str]] = {
     "p1_type": ("type:file,service", "entity_type IN ('file', 'service')"),
     "p2_ext": ("ext:.EN", "lower(extension) = 'en'"),
-    "p2_ext_pair": ("ext:en,fr", "lower(extension) = 'en' AND lower(extension) = 'fr'"),
+    "p2_ext_pair": ("ext:en,.EN", "lower(extension) = 'en' AND lower(extension) = 'en'"),
+    "p2_ext_disjoint": ("ext:en,fr", "lower(extension) = 'en' AND lower(extension) = 'fr'"),
     "p3_path": ('path:"src1"', "contains(lpath, 'src1')"),
     "p4_drive": ("drive:d", "(entity_type IN ('file', 'directory') AND upper(drive) = 'D') OR regexp_matches(path, '^[Dd]:')"),
     "p5_name": ("name:Red", "contains(lname, 'red')"),
@@ -90,6 +94,28 @@ def field_sql(column: str, needle: str) -> str:
       + CASE WHEN {column} <> '{needle}' AND {token} THEN 30 ELSE 0 END)"""
 
 
+def fuzzy_sql(needle: str) -> str:
+    """z: the leftmost subsequence of a needle of letters in names, and its points, step by step."""
+    steps = ["q0 AS (SELECT id, collect_ord, name, lower(name) AS low, 0 AS at0 FROM e)"]
+    for i, c in enumerate(needle, 1):
+        found = f"strpos(substr(low, at{i - 1} + 1), '{c}')"
+        steps.append(f"q{i} AS (SELECT *, at{i - 1} + {found} AS at{i} FROM q{i - 1} WHERE {found} > 0)")
+    n, gaps, heads = len(needle), [], []
+    for i in range(1, n + 1):
+        if i > 1:
+            gaps.append(f"CASE WHEN at{i} = at{i - 1} + 1 THEN 8 ELSE -least(24, 3 * (at{i} - at{i - 1} - 1)) END")
+        before, own = f"substr(name, at{i} - 1, 1)", f"substr(name, at{i}, 1)"
+        heads.append(
+            f"CASE WHEN at{i} = 1 THEN 12 WHEN regexp_matches({before}, '[\\s\\-_/\\\\.,;:()\\[\\]{{}}''\"+&|=@#]') THEN 10 "
+            f"WHEN {own} <> lower({own}) AND {before} <> upper({before}) THEN 6 ELSE 0 END"
+        )
+    whole = f"(100 * {n}) // (at{n} - at1 + 1) // 4 - least(24, 2 * (at1 - 1)) - least(16, (length(name) - {n}) // 8)"
+    points = " + ".join([str(12 * n), *gaps, *heads, whole])
+    where = " || ', ' || ".join(f"CAST(at{i} - 1 AS VARCHAR)" for i in range(1, n + 1))
+    last = f"SELECT id, collect_ord, CAST(greatest(0, least(200, {points})) AS BIGINT) AS score, '[' || {where} || ']' AS positions FROM q{n}"
+    return f", {', '.join(steps)}, z AS ({last})"
+
+
 def _scored(line: str, views_: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = compile_detailed(line).query
@@ -108,6 +134,11 @@ register(
     _scored("type:file en", ("e_file",)),
     f"{entities_sql('e_file')} SELECT id, 'name' AS matched_field, {_total(field_sql('lname', 'en'))} FROM e WHERE contains(lname, 'en')",
 )
+register(
+    "k2_exact_match",
+    _scored("type:directory nation_1", ("e_dir",)),
+    f"{entities_sql('e_dir')} SELECT id, 'name' AS matched_field, {_total(field_sql('lname', 'nation_1'))} FROM e WHERE contains(lname, 'nation_1')",
+)
 register(
     "k3_prefix_match",
     _scored("type:file doc", ("e_file",)),
@@ -149,11 +180,31 @@ register(
 
 
 def k14_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engine(entities(spark, sf_dir, "e_svc")).scored(compile_detailed("type:service svc1").query)
+    rows = engine(entities(spark, sf_dir, "e_dir")).scored(compile_detailed("type:directory nation_1").query)
     return rows.select("id", ranking.explained(F.col("components")).alias("why"))
 
 
-register("k14_explain", k14_explain)
+register(
+    "k14_explain",
+    k14_explain,
+    f"""{entities_sql("e_dir")} SELECT id, concat('name ', printf('%+.1f', {field_sql("lname", "nation_1")}), ', recency ', printf('%+.1f', 5 * ({RECENCY_SQL})), ', entity_preference +3.0') AS why
+      FROM e WHERE contains(lname, 'nation_1')""",
+)
+
+
+def k16_without_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranker = ranking.heuristic(NOW_MS, ranking.Weights().without_fuzzy())
+    rows = engine(entities(spark, sf_dir, "e_app"), ranker=ranker).scored(compile_detailed("type:application bl").query)
+    return rows.select("id", "collect_ord", "matched_field", F.round("score", 4).alias("score"))
+
+
+register(
+    "k16_without_fuzzy",
+    k16_without_fuzzy,
+    f"""{entities_sql("e_app")}{fuzzy_sql("bl")}, n AS (SELECT e.*, coalesce({field_sql("lname", "bl")}, score / 20.0::double) AS in_name, {field_sql("lpath", "bl")} AS in_path
+      FROM e LEFT JOIN z USING (id, collect_ord)) SELECT id, collect_ord, CASE WHEN in_name IS NOT NULL THEN 'name' ELSE 'path' END AS matched_field,
+      {_total("coalesce(in_name, 0.5 * in_path)")} FROM n WHERE in_name IS NOT NULL OR in_path IS NOT NULL""",
+)
 
 
 def k15_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +224,7 @@ def k5_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("m IS NOT NULL").select("id", "collect_ord", F.col("m.score").alias("score"), F.col("m.positions").cast("string").alias("positions"))
 
 
-register("k5_fuzzy", k5_fuzzy)
+register("k5_fuzzy", k5_fuzzy, entities_sql("e_app", "e_win") + fuzzy_sql("ble") + " SELECT * FROM z")
 
 
 # Order and limit.
@@ -415,6 +466,18 @@ register(
     f"""{entities_sql("e_app")}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(target) ORDER BY
       list_position(['app-paths', 'start-menu', 'windows-apps', 'path'], app_source), collect_ord) AS r FROM e) SELECT name, target, app_source, collect_ord FROM k WHERE r = 1""",
 )
+register(
+    "a7_usage_eviction",
+    lambda spark, d: usage.usage_of(views.usage_log(spark, d), capacity=40),
+    f"{entities_sql('e_file')}, {USAGE_SQL.replace('2048', '40')} SELECT * FROM u",
+)
+register(
+    "o7_catalogue_order",
+    lambda spark, d: catalogue.in_order(catalogue.deduplicated(entities(spark, d, "e_app"))).limit(300).withColumn("position", F.row_number().over(Window.orderBy(F.lower("name"), "target"))).select("position", "name", "target"),
+    f"""{entities_sql("e_app")}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(target) ORDER BY
+      list_position(['app-paths', 'start-menu', 'windows-apps', 'path'], app_source), collect_ord) AS r FROM e)
+      SELECT row_number() OVER (ORDER BY lower(name), target) AS position, name, target FROM k WHERE r = 1 ORDER BY lower(name), target LIMIT 300""",
+)
 register(
     "a6_usage",
     lambda spark, d: usage.usage_of(views.usage_log(spark, d)),
@@ -428,10 +491,18 @@ register(
       SELECT (SELECT count(DISTINCT extension) FROM b) AS extensions, count(*) FILTER (NOT dropped) AS grams, count(*) FILTER (dropped) AS dropped_grams,
       CAST(coalesce(sum(df) FILTER (NOT dropped), 0) AS BIGINT) AS postings FROM s""",
 )
+def a13_types_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = SearchQuery(sort=Sort.parse("name-desc"))
+    top = engine(entities(spark, sf_dir)).search(query, limit=2000)
+    return types_present(top.withColumn("rank", F.row_number().over(Window.orderBy(*order_by(query.sort)))))
+
+
 register(
     "a13_types_present",
-    lambda spark, d: entities(spark, d).groupBy("entity_type").agg(F.count("*").alias("n")),
-    f"{entities_sql()} SELECT entity_type, count(*) AS n FROM e GROUP BY 1",
+    a13_types_present,
+    f"""{entities_sql()}, r AS (SELECT entity_type, row_number() OVER (ORDER BY lower(coalesce(nullif(svc_display_name, ''), name)) DESC NULLS LAST, provider_ord, collect_ord, id) AS rank
+      FROM e WHERE NOT (entity_type = 'window' AND trim(name) = '') QUALIFY rank <= 2000)
+      SELECT row_number() OVER (ORDER BY min(rank)) AS position, entity_type FROM r GROUP BY entity_type""",
 )
 
 # Set operations and the planner.
@@ -443,34 +514,84 @@ register(
 )
 
 
+_INDEXES: dict[tuple[str, str], postings.Postings] = {}
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The indexes of the bench table, built and written once in a session."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _INDEXES:
+        path = f"{shared_dir(spark)}/lodestone/postings-{uuid.uuid4().hex}"
+        postings.Postings.build(views.bench_files(spark, sf_dir)).save(path)
+        _INDEXES[at] = postings.Postings.load(spark, path)
+    return _INDEXES[at]
+
+
+def bench_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench table as entities."""
+    rows = views.bench_files(spark, sf_dir)
+    raw = rows.select("name", F.col("lpath").alias("path"), "extension", "size", F.col("record_id").alias("file_id"), F.col("record_id").alias("collect_ord"))
+    return model.entities(raw, "file")
+
+
+def planned_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over the bench table and its stored indexes."""
+    return Engine([postings.Indexed("files", bench_entities(spark, sf_dir), stored_postings(spark, sf_dir))], now=NOW_MS)
+
+
 def _planned(line: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = views.bench_files(spark, sf_dir)
-        query = compile_detailed(line).query
-        narrow, _ = postings.narrowed(files, postings.Postings.build(files), query)
-        where = [tx.contains(F.col("lpath"), str(f.value)) for f in query.filters if f.kind == "path"]
-        where += [tx.starts_with(F.col("lname"), str(f.value)) for f in query.filters if f.kind == "prefix"]
-        where += [F.col("extension") == f.value for f in query.filters if f.kind == "ext"]
-        where += [F.col("lname").contains(t) for t in query.tokens]
-        for w in where:
-            narrow = narrow.where(w)
-        return narrow.select("record_id", "name")
+        found = planned_engine(spark, sf_dir).candidates(compile_detailed(line).query)
+        return found.select(F.col("file_id").alias("record_id"), "name")
 
     return run
 
 
-for _name, (_line, _where) in {
-    "s4_planned_extension": ("ext:pdf re", "extension = 'pdf' AND contains(lname, 're')"),
-    "s4_planned_prefix": ("prefix:read", "starts_with(lname, 'read')"),
-    "s4_planned_trigram": ("design-9999", "contains(lname, 'design-9999')"),
+#: A line for each way to plan, and what it keeps. Text is to be in the name, and so in the path.
+PLANNED = {
+    "s4_planned_extension": ("ext:pdf ra", "extension = 'pdf' AND contains(lname, 'ra')"),
+    "s4_planned_prefix": ("prefix:qua", "starts_with(lname, 'qua')"),
+    "s4_planned_trigram": ("cedar-123", "contains(lname, 'cedar-123')"),
     "s4_planned_nothing": ("zzqxjw", "contains(lname, 'zzqxjw')"),
-    "u3_planned_intersection": ("ext:pdf path:design report", "extension = 'pdf' AND contains(lpath, 'design') AND contains(lname, 'report')"),
-}.items():
+    "s4_planned_linear": ("cedar", "contains(lname, 'cedar')"),
+    "u2_planned_extension_and_path": (r"ext:pdf path:a\cedar", r"extension = 'pdf' AND contains(lpath, 'a\cedar')"),
+    "u3_planned_intersection": ("prefix:cedar-1 path:-123 cedar-12", "starts_with(lname, 'cedar-1') AND contains(lpath, '-123') AND contains(lname, 'cedar-12')"),
+}
+for _name, (_line, _where) in PLANNED.items():
     register(_name, _planned(_line), f"WITH b AS ({views.bench_files_sql()}) SELECT record_id, name FROM b WHERE {_where}")
+register(
+    "u4_posting_union",
+    lambda spark, d: stored_postings(spark, d).lookup_any(["pdf", ".ZIP", "none"]),
+    f"WITH b AS ({views.bench_files_sql()}) SELECT DISTINCT record_id FROM b WHERE extension IN ('pdf', 'zip')",
+)
+register(
+    "u5_posting_difference",
+    lambda spark, d: stored_postings(spark, d).without(views.bench_files(spark, d).where("record_id % 3 = 0")).extension.groupBy("key").agg(F.count("*").alias("n")),
+    f"WITH b AS ({views.bench_files_sql()}) SELECT extension AS key, count(*) AS n FROM b WHERE record_id % 3 <> 0 GROUP BY 1",
+)
+
+
+def r11_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigram index after some records have got other names: how often each of its grams is kept."""
+    files = views.bench_files(spark, sf_dir)
+    renamed = files.where("record_id % 100 = 0").withColumn("lpath", F.concat(F.lit("c:\\new\\"), "lname"))
+    after = stored_postings(spark, sf_dir).updated(renamed)
+    return after.trigram.where(F.col("key").isin("new", "w\\c", "c:\\", "123")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+register(
+    "r11_updated_postings",
+    r11_updated,
+    rf"""WITH b AS ({views.bench_files_sql()}), g AS (SELECT unnest(list_distinct(list_transform(range(1, length(lpath) - 1), lambda i: substr(lpath, i, 3)))) AS gram FROM b),
+      s AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > greatest(512, (SELECT count(*) FROM b) // 50)),
+      n AS (SELECT CASE WHEN record_id % 100 = 0 THEN concat('c:\new\', lname) ELSE lpath END AS p FROM b),
+      h AS (SELECT unnest(list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS key FROM n)
+      SELECT key, count(*) AS n FROM h WHERE key IN ('new', 'w\c', 'c:\', '123') AND key NOT IN (SELECT gram FROM s) GROUP BY key""",
+)
 register(
     "w1_candidate_cap",
-    lambda spark, d: views.bench_files(spark, d).where(F.col("lname").contains("report")).orderBy("record_id").limit(4000).select("record_id", "name"),
-    f"WITH b AS ({views.bench_files_sql()}) SELECT record_id, name FROM b WHERE contains(lname, 'report') ORDER BY record_id LIMIT 4000",
+    lambda spark, d: views.bench_files(spark, d).where(F.col("lname").contains("ar")).orderBy("record_id").limit(4000).select("record_id", "name"),
+    f"WITH b AS ({views.bench_files_sql()}) SELECT record_id, name FROM b WHERE contains(lname, 'ar') ORDER BY record_id LIMIT 4000",
 )
 
 # Change data capture.

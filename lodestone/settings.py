@@ -49,3 +49,12 @@ class Settings:
     def save(self, path: str | Path) -> None:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps({KEYS[k]: v for k, v in asdict(self).items()}, indent=2))
+
+
+def choose_backend(wanted: str, journal_ready: bool) -> tuple[str, list[str]]:
+    """scan or journal, and warnings: auto takes the journal where it can be read, journal fails where it cannot."""
+    if wanted == "scan" or (wanted == "auto" and not journal_ready):
+        return "scan", ["the journal cannot be read, so folders are walked"] if wanted == "auto" else []
+    if not journal_ready:
+        raise ValueError("the journal cannot be read")
+    return "journal", []

@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from lodestone import model
 from lodestone.plans import ranking
-from lodestone.plans.compiler import compile_detailed
-from lodestone.plans.engine import Engine, Table
+from lodestone.plans.compiler import compile_detailed, compile_query
+from lodestone.plans.engine import Engine, Table, types_present
 from lodestone.plans.query import SearchQuery, Sort
+from lodestone.settings import choose_backend
+from lodestone.sources import views
 
 NOW = 1_706_745_600_000
 
@@ -75,3 +77,29 @@ def test_rankers_and_weights(files):
     flat = Engine([Table("files", files)], now=NOW, ranker=ranking.noop()).scored(SearchQuery())
     assert flat.agg(F.max("score")).first()[0] == 0
     assert Engine([Table("f", files)], now=NOW, ranker=ranking.heuristic(NOW, ranking.Weights(minimum=1000.0))).scored(SearchQuery()).count() == 0
+
+
+def test_timings_and_types_in_order(spark, sf):
+    tables = [Table("files", views.entities(spark, sf, "e_file"), ("file",)), Table("services", views.entities(spark, sf, "e_svc"), ("service",))]
+    engine = Engine(tables, now=views.NOW_MS)
+    took = engine.timings(compile_detailed("svc1").query)
+    assert [t[0] for t in took] == ["files", "services"] and took[1][1] > 0 and all(t[2] > 0 for t in took)
+    assert [t[0] for t in engine.timings(compile_detailed("type:service svc1").query)] == ["services"]
+    results = spark.createDataFrame([(1, "file"), (2, "window"), (3, "file"), (4, "service")], "rank int, entity_type string")
+    assert [tuple(r) for r in types_present(results).orderBy("position").collect()] == [(1, "file"), (2, "window"), (3, "service")]
+
+
+def test_another_compiler():
+    class Shouting:
+        def compile_detailed(self, line):
+            return compile_detailed(line.lower())
+
+    assert compile_query("TYPE:FILE Report", compiler=Shouting()).to_dsl() == compile_query("type:file report").to_dsl()
+
+
+def test_backends():
+    assert choose_backend("scan", True) == ("scan", []) and choose_backend("auto", True) == ("journal", [])
+    backend, warnings = choose_backend("auto", False)
+    assert backend == "scan" and warnings and choose_backend("journal", True) == ("journal", [])
+    with pytest.raises(ValueError):
+        choose_backend("journal", False)
