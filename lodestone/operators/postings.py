@@ -92,7 +92,8 @@ class Postings:
     def save(self, path: str) -> None:
         for name in ("extension", "prefix", "trigram", "gram_stats"):
             df = getattr(self, name)
-            df.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/{name}")
+            # Dealt by the key's hash, as ranges would need a second reading; each file is in the key's order.
+            df.repartition("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Postings:

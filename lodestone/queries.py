@@ -227,6 +227,37 @@ def k5_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("k5_fuzzy", k5_fuzzy, entities_sql("e_app", "e_win") + fuzzy_sql("ble") + " SELECT * FROM z")
 
 
+# Phrases and the query language (Q1-Q17): what lines compile to, canonically.
+
+LINES = {
+    "latest docx": ("type:file ext:docx sort:modified-desc", "natural-language"),
+    "最近的 docx": ("type:file ext:docx sort:modified-desc", "natural-language"),
+    "running perl processes": ("type:process perl", "natural-language"),
+    "show me Blender": ("blender", "natural-language"),
+    "yesterday changed kotlin files": ("type:file ext:kt modified:<24h", "natural-language"),
+    "昨天更改的 kotlin 文件": ("type:file ext:kt modified:<24h", "natural-language"),
+    "last 12 days lua files": ("type:file ext:lua modified:<12d", "natural-language"),
+    "this week ruby files": ("type:file ext:rb modified:<7d", "natural-language"),
+    "please find all folders for holiday": ("type:directory holiday", "natural-language"),
+    "open the app calculator": ("type:application calculator", "natural-language"),
+    "kind:file extension:ZIP,toml size:>=2mb": ("type:file ext:ZIP ext:toml size:>=2mb", "dsl"),
+    "type:process state:running user:Me": ("type:process state:running user:Me", "dsl"),
+    "downtime": ("downtime", "plain-text"),
+}
+
+
+def q8_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(line, (c := compile_detailed(line)).query.to_dsl(), c.source) for line in LINES]
+    return spark.createDataFrame(rows, "line string, compiled string, source string")
+
+
+def _values(rows: list[tuple[str, ...]], names: str) -> str:
+    listed = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {listed}) v({names})"
+
+
+register("q8_compiled_lines", q8_compiled, _values([(k, *v) for k, v in LINES.items()], "line, compiled, source"))
+
 # Order and limit.
 
 SORTS = {

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import shared_dir
+
 #: Directories within directories of one batch, on drives without a root, that are followed.
 MOST_ROUNDS = 256
 
@@ -43,20 +47,26 @@ def resolved(files: DataFrame, mutations: DataFrame, effective) -> DataFrame:
     create = F.col("op") == "create"
     waiting = rows.where(create & F.col("root").isNull())
     sure = rows.where(~create | F.col("root").isNotNull())
+    made_by_waiting = F.col("parent_file_id") == F.col("__w")
+    new = waiting.select(F.col("file_id").alias("__w")).distinct()
+    if not rows.where(create).join(new, made_by_waiting, "left_semi").limit(1).count():
+        # Mostly: no parent hangs on a creation that waits, so all are told at once.
+        made = found_in(rows.where(create), lives(files, effective(files, sure)))
+        made = made.withColumn("parent_id", F.coalesce("found", "root")).where("parent_id IS NOT NULL").drop("found", "root")
+        return rows.where(~create).drop("root").withColumn("parent_id", F.lit(None).cast("long")).unionByName(made)
     count = 0
     accepted = waiting.limit(0).select("usn")
-    if waiting.limit(1).count():
-        for _ in range(MOST_ROUNDS):
-            now = sure.unionByName(waiting.join(accepted, "usn", "left_semi"))
-            more = found_in(waiting, lives(files, effective(files, now))).where("found IS NOT NULL").select("usn")
-            # The usns of one batch's waiting creations that are accepted; checkpointed, so that plans stay small.
-            more = _cut(more.distinct())
-            n = more.count()
-            if n == count:
-                break
-            accepted, count = more, n
-        else:
-            raise RuntimeError(f"directories of a batch are nested more than {MOST_ROUNDS} deep")
+    for _ in range(MOST_ROUNDS):
+        now = sure.unionByName(waiting.join(accepted, "usn", "left_semi"))
+        more = found_in(waiting, lives(files, effective(files, now))).where("found IS NOT NULL").select("usn")
+        # The usns of one batch's waiting creations that are accepted, written, so that plans stay small.
+        more = _cut(more.distinct())
+        n = more.count()
+        if n == count:
+            break
+        accepted, count = more, n
+    else:
+        raise RuntimeError(f"directories of a batch are nested more than {MOST_ROUNDS} deep")
     rows = sure.unionByName(waiting.join(accepted, "usn", "left_semi")) if count else sure
     made = found_in(rows.where(create), lives(files, effective(files, rows)))
     made = made.withColumn("parent_id", F.coalesce("found", "root")).drop("found", "root")
@@ -64,5 +74,6 @@ def resolved(files: DataFrame, mutations: DataFrame, effective) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    path = f"{shared_dir(df.sparkSession)}/lodestone/accepted-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,28 +6,32 @@ from lodestone.plans.dsl import parse, split_tokens
 from lodestone.plans.query import Filter, QueryError, SearchQuery, SizeBound, Sort, TimeBound, filters_from_json
 
 PAIRS = {
-    "type:file ext:rs modified:<24h sort:modified-desc limit:10": "type:file ext:rs modified:<24h sort:modified-desc limit:10",
-    "最近的 pdf": "type:file ext:pdf sort:modified-desc",
-    "recent PDFs": "type:file ext:pdf sort:modified-desc",
-    "最近的 PDF": "type:file ext:pdf sort:modified-desc",
-    "running python processes": "type:process python",
-    "正在运行的 python": "type:process python",
-    "find VS Code": "vs code",
-    "找 VS Code": "vs code",
-    "yesterday modified rust files": "type:file ext:rs modified:<24h",
-    "昨天修改的 rust 文件": "type:file ext:rs modified:<24h",
-    "past 30 days rust files": "type:file ext:rs modified:<30d",
-    "过去7天修改的pdf文件": "type:file ext:pdf modified:<7d",
-    "bogus:value rust": "bogus:value rust",
+    "type:file ext:zip modified:<3d sort:size-asc limit:25": "type:file ext:zip modified:<3d sort:size-asc limit:25",
+    "最近的 docx": "type:file ext:docx sort:modified-desc",
+    "latest docx": "type:file ext:docx sort:modified-desc",
+    "newest mp4 files": "type:file ext:mp4 sort:modified-desc",
+    "running perl processes": "type:process perl",
+    "正在运行的 perl": "type:process perl",
+    "show me Blender": "blender",
+    "显示 Blender": "blender",
+    "yesterday changed kotlin files": "type:file ext:kt modified:<24h",
+    "昨天更改的 kotlin 文件": "type:file ext:kt modified:<24h",
+    "last 12 days lua files": "type:file ext:lua modified:<12d",
+    "过去5天编辑的csv文件": "type:file ext:csv modified:<5d",
+    "this week ruby files": "type:file ext:rb modified:<7d",
+    "please find all folders for holiday": "type:directory holiday",
+    "文件夹 照片": "type:directory 照片",
+    "open the app calculator": "type:application calculator",
+    "nonsense:thing kotlin": "nonsense:thing kotlin",
     "limit:99999": "limit:2000",
     "limit:0": "limit:1",
-    "runtime": "runtime",
-    "vscode": "vscode",
-    "python": "python",
+    "downtime": "downtime",
+    "bookshelf": "bookshelf",
+    "kotlin": "kotlin",
     "css": "type:file ext:cs",
     "docs": "type:file ext:doc",
     "logs": "type:file ext:log",
-    "报告 pdf": "type:file ext:pdf",
+    "音乐 mp3": "type:file ext:mp3",
     "services": "type:service",
     "服务器": "器",
     "c++ files": "type:file ext:cpp",
