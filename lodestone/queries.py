@@ -16,7 +16,7 @@ from lodestone.plans import ranking
 from lodestone.plans.compiler import compile_detailed
 from lodestone.plans.engine import Engine, Table, order_by, types_present
 from lodestone.plans.query import SearchQuery, Sort
-from lodestone.sources import views
+from lodestone.sources import recorded, views
 from lodestone.sources.scratch import shared_dir
 from lodestone.sources.views import NOW_MS, entities, entities_sql, source
 from lodestone.streaming import journal
@@ -740,3 +740,60 @@ def r3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("r3_decisions_folded", r3_stream, f"WITH {READINGS_SQL} SELECT * FROM g")
+
+# Sources over recorded snapshots.
+
+
+def s17_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services and their configuration, asked with a word: the configuration of others is not there."""
+    raw = entities(spark, sf_dir, "e_svc").select("name", "svc_display_name", "svc_state", "pid", "collect_ord", "svc_start_type", "path")
+    listed, config = raw.drop("svc_start_type", "path"), raw.select("name", "svc_start_type", F.lit("LocalSystem").alias("account"), "path")
+    rows = recorded.services(listed, config).collect(compile_detailed("type:service svc1").query)
+    return rows.select("id", "svc_state", "svc_start_type", "account", "path")
+
+
+register(
+    "s17_s18_services",
+    s17_services,
+    f"""{entities_sql("e_svc")}, h AS (SELECT *, contains(lname, 'svc1') OR contains(lower(coalesce(svc_display_name, '')), 'svc1') AS wanted FROM e)
+      SELECT id, svc_state, CASE WHEN wanted THEN svc_start_type END AS svc_start_type, CASE WHEN wanted THEN 'LocalSystem' END AS account, CASE WHEN wanted THEN path END AS path FROM h""",
+)
+
+
+def s20_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as registered programs and as shortcuts in a menu, some too deep."""
+    part = source(spark, sf_dir, "part")
+    registered = part.where("p_partkey % 3 = 0").selectExpr(
+        "concat(replace(p_name, ' ', '-'), '.exe') AS key", "CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE concat('C:\\\\bin\\\\', replace(p_name, ' ', '-'), '.exe') END AS target",
+        "'C:\\\\bin' AS working_dir", "p_partkey AS collect_ord",
+    )
+    walked = part.selectExpr("concat('C:\\\\menu\\\\', repeat('x\\\\', CAST(p_partkey % 8 AS INT)), replace(p_name, ' ', '_'), '.LNK') AS path", "concat(replace(p_name, ' ', '_'), '.LNK') AS name", "false AS is_dir").distinct()
+    apps = recorded.applications([recorded.app_paths(registered), recorded.start_menu(walked, "C:\\menu")]).collect(SearchQuery())
+    return apps.select("name", "target", "app_source", "working_dir")
+
+
+register(
+    "s20_s21_catalogue",
+    s20_catalogue,
+    r"""WITH w AS (SELECT DISTINCT p_name, p_partkey % 8 AS depth FROM part), a AS (
+      SELECT DISTINCT p_name, concat('C:\bin\', replace(p_name, ' ', '-'), '.exe') AS target, 'app-paths' AS app_source, 'C:\bin' AS working_dir FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 9 <> 0
+      UNION ALL SELECT p_name, concat('C:\menu\', repeat('x\', CAST(depth AS INT)), replace(p_name, ' ', '_'), '.LNK'), 'start-menu',
+        concat('C:\menu', repeat('\x', CAST(depth AS INT))) FROM w WHERE depth <= 5)
+      SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda t: concat(upper(t[1]), substr(t, 2))), ' ') AS name, target, app_source, working_dir FROM a""",
+)
+
+
+def s9_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = path_tree(spark, sf_dir).where("id < 200 OR id >= 1000 OR id % 2 = 0")
+    records = graph.selectExpr("id AS frn", "parent_id AS parent_frn", "name", "IF(id < 1000, 16, 32) AS attributes", "CAST(id * 1000 AS BIGINT) AS modified")
+    return recorded.enumerated(records, "e").select("id", "entity_type", "path", "modified", "size")
+
+
+register(
+    "s9_enumerated",
+    s9_enumerated,
+    rf"""WITH RECURSIVE {TREE_SQL}, k AS (SELECT * FROM t WHERE id < 200 OR id >= 1000 OR id % 2 = 0), w AS (SELECT id, name AS path, 0 AS depth FROM k WHERE parent_id IS NULL
+      UNION ALL SELECT k.id, concat(rtrim(w.path, '\'), '\', k.name), w.depth + 1 FROM k JOIN w ON k.parent_id = w.id)
+      SELECT concat(CASE WHEN id < 1000 THEN 'dir:' ELSE 'file:' END, lower(path)) AS id, CASE WHEN id < 1000 THEN 'directory' ELSE 'file' END AS entity_type, path, id * 1000 AS modified, CAST(NULL AS BIGINT) AS size
+      FROM w WHERE depth > 0""",
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.clock import now_ms
 from lodestone.operators import usage
+from lodestone.operators.postings import Indexed
 from lodestone.plans import ranking
 from lodestone.plans.compiler import CompiledQuery, compile_detailed, compile_query
 from lodestone.plans.dsl import KEY_NAMES
 from lodestone.plans.engine import Engine, Provider, Response
 from lodestone.plans.query import TYPES, Filter, QueryError, SearchQuery, Sort, filters_from_json, parse_type
 from lodestone.settings import Settings
+from lodestone.sources import cache
+from lodestone.streaming import tail
 
 USAGE = "entity_id string, query string, ts_ms long"
 # The tools' names and the types that each searches.
@@ -28,7 +32,10 @@ TOOL_FIELDS = ("id", "entity_type", "name", "display_name", "path", "subtitle",
 class SearchService:
     """Answers queries over providers. Selections are lines of JSON in a file; unreadable ones are none."""
 
-    def __init__(self, spark: SparkSession, providers: list[Provider], settings: Settings | None = None, usage_log: str | None = None, now: int | None = None):
+    def __init__(self, spark: SparkSession, providers: list[Provider], settings: Settings | None = None, usage_log: str | None = None, now: int | None = None,
+                 index_root: str | None = None, scan: Callable[[], DataFrame] | None = None):
+        """index_root: the folder of the file index; scan: what reads its files and directories, as entities."""
+        self.index_root, self.scan = index_root, scan
         self.spark, self.providers, self.settings = spark, providers, (settings or Settings()).normalised()
         self.usage_log, self._now = Path(usage_log) if usage_log else None, now
 
@@ -79,6 +86,32 @@ class SearchService:
             out = out.union(p)
         return out
 
+    # The file index: a stored table and its postings, below one folder.
+
+    def rebuild(self) -> int:
+        """Reads the files anew into the stored table, builds its postings, and puts both in use; the number of entries."""
+        if not self.index_root or not self.scan:
+            raise ValueError("this service has no file index")
+        rows = self.scan()
+        cache.write_version(rows, f"{self.index_root}/files", saved_at=self.now)
+        stored = cache.load(self.spark, f"{self.index_root}/files")
+        self._use(Indexed.build("files", stored, f"{self.index_root}/postings-{self.now}"))
+        return stored.count()
+
+    def update(self, mutations: DataFrame, batch_id: int, table: str) -> bool:
+        """Applies a batch of the journal's mutations to the file table at ``table``; False if it was applied before."""
+        return tail.apply_version(self.spark, table, mutations, batch_id)
+
+    def refresh(self) -> list[str]:
+        """Lets all snapshots be taken anew; the names of their providers."""
+        fresh = [p for p in self.providers if hasattr(p, "refresh")]
+        for p in fresh:
+            p.refresh()
+        return [p.name for p in fresh]
+
+    def _use(self, provider: Provider) -> None:
+        self.providers = [p for p in self.providers if p.name != provider.name] + [provider]
+
     def record_selection(self, line: str, entity_id: str) -> None:
         if self.usage_log and entity_id:
             self.usage_log.parent.mkdir(parents=True, exist_ok=True)
