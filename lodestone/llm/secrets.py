@@ -46,9 +46,6 @@ EDGE_BEFORE, EDGE_AFTER = "+/_.-=", "+/_.-"
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 #: Code points of a window of surroundings, and the novelty, in bytes for each byte and in all, that is reported.
 AROUND, NOVEL, LEAST_NEW, LEVEL = 1024, 0.8, 10, 12
-#: What a frame adds to the bytes of a string that cannot be compressed.
-FRAME = 3
-
 CODE_WORDS = (
     "import from return def class self None True False public static void private protected final string int float "
     "double boolean const let var function async await export default module require include define struct typedef "
@@ -124,7 +121,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         start += len(own) - len(own.lstrip(EDGE_BEFORE))
         end -= len(own) - len(own.rstrip(EDGE_AFTER))
         near = near or (last + 1 < len(words) and starts[last + 1] - end <= REACH)
-        if near and end - start >= LEAST_NEW - FRAME:
+        if near and end - start >= LEAST_NEW:
             found.append((start, end))
     return found
 
@@ -167,8 +164,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novel: float = NOVE
             before, own, after = (without(text, cut, a, b) for a, b in zip(edges, edges[1:]))
             around = Surroundings(own, f"{before} {after}")
         own = text[start:end]
-        new = around.added(own)
-        if new >= LEAST_NEW and new >= novel * len(own.encode("utf-8", "replace")):
+        size = len(own.encode("utf-8", "replace"))
+        # A string has no more news than bytes; what a frame costs beyond that is the encoder's.
+        new = min(size, around.added(own))
+        if new >= LEAST_NEW and new >= novel * size:
             found.append((start, 3, end))
     return found
 

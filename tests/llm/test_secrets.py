@@ -71,7 +71,7 @@ def naive_candidates(text):
         first = a + len(own) - len(own.lstrip(secrets.EDGE_BEFORE))
         last = b - len(own) + len(own.rstrip(secrets.EDGE_AFTER))
         near = near or any(0 <= a - e <= secrets.REACH or 0 <= s - last <= secrets.REACH for s, e in words)
-        if near and last - first >= secrets.LEAST_NEW - secrets.FRAME:
+        if near and last - first >= secrets.LEAST_NEW:
             out.append((first, last))
     return out
 
@@ -104,7 +104,7 @@ def test_windows_match_measuring_each_candidate_alone():
         cut = lambda i, j: " ".join(filter(None, "".join(c or "\0" for c in masked[max(0, i) : max(0, j)]).split("\0")))
         n = secrets.AROUND
         around = secrets.Surroundings(cut(w, w + n), f"{cut(w - n, w)} {cut(w + n, w + 2 * n)}")
-        new = around.added(text[a:b])
+        new = min(b - a, around.added(text[a:b]))
         if new >= secrets.LEAST_NEW and new >= secrets.NOVEL * (b - a):
             want.append((a, 3, b))
     got = secrets.novel_spans(text, base)
