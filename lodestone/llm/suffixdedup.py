@@ -5,7 +5,7 @@ the input. A shard's suffix array is built by induced sorting, and its permuted
 ``length`` bytes (suffixes.py). What goes to a shard:
 
 1. Winnowing cuts each text into runs of window starts with the same key, so equal windows have equal keys (winnow.py).
-   Rows (text, key, content hash of the run) are written once; counts by key, pre-aggregated, find the keys that occur
+   Rows (text, key, content hash and place of the run) are written once; counts by key, pre-aggregated, find the keys that occur
    twice. All else occurs once and is done with.
 2. Texts with such keys are written with the list of these runs. A run whose key has one content only is repeated as a
    whole. The others' bytes go to shards by key; keys of more than ``HOT`` runs go by the hash of a core of the window
@@ -181,6 +181,14 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[b
     return b"".join([*out, raw[at:]]), n
 
 
+def lists(column: pa.ListArray, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each list of structs of longs or integers, its fields as arrays; none is null."""
+    ends = column.offsets.to_numpy()
+    fields = [column.values.field(n).to_numpy() for n in names]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield tuple(f[a:b] for f in fields)
+
+
 def _row_key(id_col: str, text_col: str) -> list:
     """128 bits that tell rows apart; rows alike in both columns share it, and their results."""
     parts = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")), F.coalesce(F.col(text_col), F.lit(""))
@@ -193,12 +201,13 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r1, r2 = (batch.column(i).to_numpy() for i in (0, 1))
-            sizes, keys, held = [], [], []
+            sizes, keys, places, held = [], [], [], []
             for text in batch.column(2):
                 raw = text.as_py().encode("utf-8", "replace")
-                k, _, _, c = runs_of(raw, length)
+                k, first, last, c = runs_of(raw, length)
                 sizes.append(len(k))
                 keys.append(k)
+                places.append(first * length + last - first)
                 held += c
             if held:
                 yield pa.RecordBatch.from_arrays(
@@ -207,12 +216,13 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         pa.array(np.repeat(r2, sizes)),
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array(np.array(held, np.uint64).view(np.int64)),
+                        pa.array(np.concatenate(places)),
                     ],
-                    ["r1", "r2", "key", "content"],
+                    ["r1", "r2", "key", "content", "place"],
                 )
 
     texts = rows.where(F.octet_length("text") >= length).select("r1", "r2", "text")
-    runs = written(texts.mapInArrow(winnow, "r1 long, r2 long, key long, content long"), "runs")
+    runs = written(texts.mapInArrow(winnow, "r1 long, r2 long, key long, content long, place long"), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     keys = keys.where("n > 1").select(
         F.col("key").alias("k"),
@@ -221,7 +231,7 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     # Written, so that the join deals both sides anew and Spark can split a hot key's runs.
     keys = written(keys, "keys")
     found = runs.join(keys, F.col("key") == F.col("k")).groupBy("r1", "r2").agg(
-        F.collect_set(F.struct("key", "content", "kind")).alias("runs")
+        F.collect_set(F.struct("key", "content", "kind", "place")).alias("runs")
     )
     rows = written(rows.join(found, ["r1", "r2"], "left"), "texts")
     dropped(runs, keys)
@@ -232,17 +242,14 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         out: dict[tuple[int, int, int, int, bytes], int] = {}
         size = 0
         for batch in batches:
-            for text, runs in zip(batch.column(0), batch.column(1)):
-                wanted = {(r["key"], r["content"]): r["kind"] for r in runs.as_py() if r["kind"] != WHOLE}
-                if not wanted:
+            for text, (keys, held, kinds, places) in zip(batch.column(0), lists(batch.column(1), ("key", "content", "kind", "place"))):
+                wanted = np.flatnonzero(kinds != WHOLE)
+                if not len(wanted):
                     continue
                 raw = text.as_py().encode("utf-8", "replace")
-                keys, first, last, held = runs_of(raw, length)
-                signed = np.array(held, np.uint64).view(np.int64).tolist()
-                for key, c, i, j in zip(keys.view(np.int64).tolist(), signed, first.tolist(), last.tolist()):
-                    kind = wanted.get((key, c), WHOLE)
-                    if kind == WHOLE:
-                        continue
+                first, more = np.divmod(places[wanted], length)
+                told = (x.tolist() for x in (keys[wanted], held[wanted], kinds[wanted], first, first + more))
+                for key, c, kind, i, j in zip(*told):
                     content = raw[i : j + length]
                     if kind == MIXED:
                         pieces = [(key, key, c, 0, content)]
@@ -312,9 +319,9 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     starts = written(
         starts.groupBy("key", "content").agg(F.collect_set(F.struct("first", "last")).alias("starts")), "starts"
     )
-    listed = texts.select("r1", "r2", F.explode("runs").alias("run")).select(
-        "r1", "r2", F.col("run.key").alias("key"), F.col("run.content").alias("content"), F.col("run.kind").alias("kind")
-    )
+    # Each kind of run of a text once, wherever it stands in it.
+    kinds = F.array_distinct(F.transform("runs", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["kind"].alias("kind"))))
+    listed = texts.select("r1", "r2", F.inline(kinds))
     whole = listed.where(F.col("kind") == WHOLE).select(
         "r1", "r2", "key", "content", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("starts")
     )
@@ -338,16 +345,16 @@ def remove_repeats(
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, n_spans, kept, rest = [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2)):
+            own_runs = lists(batch.column(4), ("key", "content", "place"))
+            for text, found, (keys, held, places) in zip(batch.column(1), batch.column(2), own_runs):
                 raw = text.as_py().encode("utf-8", "replace")
                 starts = {(s["key"], s["content"]): s["starts"] for s in found.as_py() or ()}
-                keys, first, last, held = runs_of(raw, length) if starts else ([],) * 4
-                signed = np.array(held, np.uint64).view(np.int64).tolist()
                 own: list[tuple[int, int]] = []
-                for key, c, i, j in zip(np.array(keys, np.uint64).view(np.int64).tolist(), signed, first, last):
+                for key, c, place in zip(keys.tolist(), held.tolist(), places.tolist()) if starts else ():
                     if (key, c) in starts:
+                        i, more = divmod(place, length)
                         at = starts[key, c]
-                        own += [(int(i), int(j))] if at is None else [(int(i) + s["first"], int(i) + s["last"]) for s in at]
+                        own += [(i, i + more)] if at is None else [(i + s["first"], i + s["last"]) for s in at]
                 left, n = kept_bytes(raw, own, length)
                 removed.append(len(raw) - len(left))
                 n_spans.append(n)
@@ -365,7 +372,7 @@ def remove_repeats(
     whole = rows.where("runs is null").select(
         "id", n_bytes, none.alias("n_removed"), none.alias("n_spans"), (F.sha2(raw, 256) if digests else raw).alias("kept"), "text"
     )
-    changed = rows.where("runs is not null").join(spans, ["r1", "r2"], "left").select("id", "text", "spans", n_bytes)
+    changed = rows.where("runs is not null").join(spans, ["r1", "r2"], "left").select("id", "text", "spans", n_bytes, "runs")
     return whole.union(changed.mapInArrow(apply, whole.schema)).select(
         F.col("id").alias(id_col),
         "n_bytes",
