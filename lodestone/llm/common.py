@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import uuid
 from collections.abc import Callable
@@ -37,12 +38,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Removes tables of written() that nothing reads any more, as their successors are written."""
+    """Removes tables of written() that nothing reads any more, as their successors are written.
+
+    Spark removes a job's shuffle files once its plan is garbage, which may take long if memory is plenty, so collect it.
+    """
+    spent = None
     for at in reversed(range(len(_WRITTEN))):
         spark, path, table = _WRITTEN[at]
         if any(table is t for t in tables):
             del _WRITTEN[at]
             _remove(spark, path)
+            spent = spark
+    if spent is not None:
+        gc.collect()
+        spent.sparkContext._jvm.System.gc()
 
 
 def forget_tables() -> None:

@@ -184,7 +184,7 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[b
 def lists(column: pa.ListArray, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
     """For each list of structs of longs or integers, its fields as arrays; none is null."""
     ends = column.offsets.to_numpy()
-    fields = [column.values.field(n).to_numpy() for n in names]
+    fields = [column.values.field(n).to_numpy(zero_copy_only=False) for n in names]
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         yield tuple(f[a:b] for f in fields)
 
@@ -196,7 +196,8 @@ def _row_key(id_col: str, text_col: str) -> list:
 
 
 def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """rows(id, r1, r2, text) -> the rows with the runs of repeated keys, null if none, and spans(r1, r2, spans)."""
+    """rows(id, r1, r2, text) -> the rows with whole and runs, what stands of repeated keys, null if nothing does, and
+    spans(r1, r2, spans); whole and spans are places."""
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +231,14 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     )
     # Written, so that the join deals both sides anew and Spark can split a hot key's runs.
     keys = written(keys, "keys")
+    # Of a run that is repeated as a whole its place is enough.
+    whole = F.col("kind") == WHOLE
     found = runs.join(keys, F.col("key") == F.col("k")).groupBy("r1", "r2").agg(
-        F.collect_set(F.struct("key", "content", "kind", "place")).alias("runs")
+        F.collect_set(F.when(whole, F.col("place"))).alias("whole"),
+        F.collect_set(F.when(~whole, F.struct("key", "content", "place", (F.col("kind") == CORES).alias("cores")))).alias("runs"),
     )
     rows = written(rows.join(found, ["r1", "r2"], "left"), "texts")
+    del found
     dropped(runs, keys)
     texts = rows.where("runs is not null")
 
@@ -242,16 +247,14 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         out: dict[tuple[int, int, int, int, bytes], int] = {}
         size = 0
         for batch in batches:
-            for text, (keys, held, kinds, places) in zip(batch.column(0), lists(batch.column(1), ("key", "content", "kind", "place"))):
-                wanted = np.flatnonzero(kinds != WHOLE)
-                if not len(wanted):
+            for text, (keys, held, cores, places) in zip(batch.column(0), lists(batch.column(1), ("key", "content", "cores", "place"))):
+                if not len(keys):
                     continue
                 raw = text.as_py().encode("utf-8", "replace")
-                first, more = np.divmod(places[wanted], length)
-                told = (x.tolist() for x in (keys[wanted], held[wanted], kinds[wanted], first, first + more))
-                for key, c, kind, i, j in zip(*told):
+                first, more = np.divmod(places, length)
+                for key, c, hot, i, j in zip(*(x.tolist() for x in (keys, held, cores, first, first + more))):
                     content = raw[i : j + length]
-                    if kind == MIXED:
+                    if not hot:
                         pieces = [(key, key, c, 0, content)]
                     else:
                         bins = Bins.of([content], np.array([key % (1 << 64)], np.uint64), length)
@@ -319,14 +322,11 @@ def repeated_spans(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     starts = written(
         starts.groupBy("key", "content").agg(F.collect_set(F.struct("first", "last")).alias("starts")), "starts"
     )
-    # Each kind of run of a text once, wherever it stands in it.
-    kinds = F.array_distinct(F.transform("runs", lambda r: F.struct(r["key"].alias("key"), r["content"].alias("content"), r["kind"].alias("kind"))))
-    listed = texts.select("r1", "r2", F.inline(kinds))
-    whole = listed.where(F.col("kind") == WHOLE).select(
-        "r1", "r2", "key", "content", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("starts")
-    )
-    mixed = listed.where(F.col("kind") != WHOLE).join(starts, ["key", "content"]).select("r1", "r2", "key", "content", "starts")
-    spans = whole.union(mixed).groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "content", "starts")).alias("spans"))
+    # Spans as places: first start times the length, and how many starts follow.
+    listed = texts.select("r1", "r2", F.inline("runs")).join(starts, ["key", "content"])
+    at = F.col("place") - F.col("place") % length
+    own = F.transform("starts", lambda s: at + s["first"] * length + s["last"] - s["first"])
+    spans = listed.groupBy("r1", "r2").agg(F.flatten(F.collect_set(own)).alias("spans"))
     return rows, spans
 
 
@@ -345,16 +345,11 @@ def remove_repeats(
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, n_spans, kept, rest = [], [], [], []
-            own_runs = lists(batch.column(4), ("key", "content", "place"))
-            for text, found, (keys, held, places) in zip(batch.column(1), batch.column(2), own_runs):
+            for text, *found in zip(*(batch.column(i) for i in (1, 2, 3))):
                 raw = text.as_py().encode("utf-8", "replace")
-                starts = {(s["key"], s["content"]): s["starts"] for s in found.as_py() or ()}
-                own: list[tuple[int, int]] = []
-                for key, c, place in zip(keys.tolist(), held.tolist(), places.tolist()) if starts else ():
-                    if (key, c) in starts:
-                        i, more = divmod(place, length)
-                        at = starts[key, c]
-                        own += [(i, i + more)] if at is None else [(i + s["first"], i + s["last"]) for s in at]
+                places = np.unique(np.array([p for f in found for p in f.as_py() or ()], np.int64))
+                first, more = np.divmod(places, length)
+                own = list(zip(first.tolist(), (first + more).tolist()))
                 left, n = kept_bytes(raw, own, length)
                 removed.append(len(raw) - len(left))
                 n_spans.append(n)
@@ -362,7 +357,7 @@ def remove_repeats(
                 rest.append(left.decode("utf-8", "ignore"))
             counts = [pa.array(x, pa.int64()) for x in (removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), *counts, pa.array(kept, pa.string() if digests else pa.binary()), pa.array(rest)],
+                [batch.column(0), batch.column(4), *counts, pa.array(kept, pa.string() if digests else pa.binary()), pa.array(rest)],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept", "text"],
             )
 
@@ -372,7 +367,7 @@ def remove_repeats(
     whole = rows.where("runs is null").select(
         "id", n_bytes, none.alias("n_removed"), none.alias("n_spans"), (F.sha2(raw, 256) if digests else raw).alias("kept"), "text"
     )
-    changed = rows.where("runs is not null").join(spans, ["r1", "r2"], "left").select("id", "text", "spans", n_bytes, "runs")
+    changed = rows.where("runs is not null").join(spans, ["r1", "r2"], "left").select("id", "text", "spans", "whole", n_bytes)
     return whole.union(changed.mapInArrow(apply, whole.schema)).select(
         F.col("id").alias(id_col),
         "n_bytes",
