@@ -100,13 +100,20 @@ class Postings:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("extension", "prefix", "trigram", "gram_stats")))
 
     def statistics(self) -> DataFrame:
-        """extensions, grams kept and dropped, postings."""
+        """extensions and prefixes (different ones), grams kept and dropped, postings of grams, and bytes: eight for each
+        record in each index, and the keys of grams."""
         grams = self.gram_stats.agg(
             F.count_if(~F.col("dropped")).alias("grams"),
             F.count_if("dropped").alias("dropped_grams"),
             F.coalesce(F.sum(F.when(~F.col("dropped"), F.col("df"))), F.lit(0)).alias("postings"),
+            F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("__keys"),
         )
-        return self.extension.agg(F.countDistinct("key").alias("extensions")).join(grams, F.lit(True))
+        extensions = self.extension.agg(F.countDistinct("key").alias("extensions"), F.count("*").alias("__e"))
+        prefixes = self.prefix.agg(F.countDistinct("key").alias("prefixes"), F.count("*").alias("__p"))
+        # A row each.
+        whole = extensions.join(prefixes, F.lit(True)).join(grams, F.lit(True))
+        size = 8 * (F.col("__e") + F.col("__p") + F.col("postings")) + F.col("__keys")
+        return whole.withColumn("bytes", size).drop("__e", "__p", "__keys")
 
     def _lookups(self, query: SearchQuery) -> list[tuple[str, str, DataFrame, int]]:
         """What the indexes know about a query: kind, word, the records, and how many at most."""

@@ -518,9 +518,11 @@ register(
     "a9_posting_statistics",
     lambda spark, d: postings.Postings.build(views.bench_files(spark, d)).statistics(),
     f"""WITH b AS ({views.bench_files_sql()}), g AS (SELECT record_id, unnest(list_distinct(list_transform(range(1, length(lpath) - 1), lambda i: substr(lpath, i, 3)))) AS gram FROM b),
-      s AS (SELECT gram, count(*) AS df, count(*) > greatest(512, (SELECT count(*) FROM b) // 50) AS dropped FROM g GROUP BY gram)
-      SELECT (SELECT count(DISTINCT extension) FROM b) AS extensions, count(*) FILTER (NOT dropped) AS grams, count(*) FILTER (dropped) AS dropped_grams,
-      CAST(coalesce(sum(df) FILTER (NOT dropped), 0) AS BIGINT) AS postings FROM s""",
+      s AS (SELECT gram, count(*) AS df, count(*) > greatest(512, (SELECT count(*) FROM b) // 50) AS dropped FROM g GROUP BY gram),
+      t AS (SELECT (SELECT count(DISTINCT extension) FROM b) AS extensions, (SELECT count(DISTINCT substr(lname, 1, 24)) FROM b) AS prefixes,
+      count(*) FILTER (NOT dropped) AS grams, count(*) FILTER (dropped) AS dropped_grams,
+      CAST(coalesce(sum(df) FILTER (NOT dropped), 0) AS BIGINT) AS postings, CAST(sum(strlen(gram)) AS BIGINT) AS keys FROM s)
+      SELECT * EXCLUDE (keys), 8 * (2 * (SELECT count(*) FROM b) + postings) + keys AS bytes FROM t""",
 )
 def a13_types_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = SearchQuery(sort=Sort.parse("name-desc"))

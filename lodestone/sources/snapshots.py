@@ -35,10 +35,16 @@ class Snapshot:
     def collect(self, query: SearchQuery) -> DataFrame:
         kept = KEPT.get(self.types[0], 0.0) if self.kept is None else self.kept
         if self._rows is None or time.monotonic() - self._at > kept:
+            self.refresh()
             self._rows, self._at = self.take(query), time.monotonic()
+            if kept > 0:
+                # Taken once, however many actions read it.
+                self._rows.persist()
         return self._rows
 
     def refresh(self) -> None:
+        if self._rows is not None:
+            self._rows.unpersist()
         self._rows = None
 
 
