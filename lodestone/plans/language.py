@@ -29,9 +29,11 @@ THIS_WEEK = ("本周", "这周", "这个星期", "过去一周", "最近一周",
 FILLERS = ("帮我找一下", "帮我找", "帮我", "我想找", "我想要", "我要", "请找", "查找", "搜索", "显示", "列出", "找到", "找一下",
            "找", "一下", "所有", "全部", "这个", "那个", "please find", "please", "look for", "search for", "where is",
            "show me", "show", "list", "find", "search", "open", "launch", "all", "the", "for", "me")
-EXTENSIONS = ("7z bat bmp cpp cs css csv dart dll doc docx exe gif go hpp html ico ini java jpeg jpg js json jsx kt log lua md "
-              "mkv mov mp3 mp4 pdf php png ppt pptx ps1 py rar rb rs sh sql svg swift tar toml ts tsx txt vue wav webp xls "
-              "xlsx xml yaml yml zip").split()
+EXTENSIONS = ("7z", "bat", "bmp", "cpp", "cs", "css", "csv", "dart", "dll", "doc", "docx", "exe", "gif", "go", "hpp",
+              "html", "ico", "ini", "java", "jpeg", "jpg", "js", "json", "jsx", "kt", "log", "lua", "md", "mkv",
+              "mov", "mp3", "mp4", "pdf", "php", "png", "ppt", "pptx", "ps1", "py", "rar", "rb", "rs", "sh", "sql",
+              "svg", "swift", "tar", "toml", "ts", "tsx", "txt", "vue", "wav", "webp", "xls", "xlsx", "xml", "yaml",
+              "yml", "zip")
 LANGUAGES = {
     "visual basic": "vb", "typescript": "ts", "javascript": "js", "powershell": "ps1", "markdown": "md", "golang": "go",
     "python": "py", "rust": "rs", "java": "java", "kotlin": "kt", "ruby": "rb", "yaml": "yml", "csharp": "cs", "c#": "cs",
