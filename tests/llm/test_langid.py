@@ -38,6 +38,14 @@ def test_unlearned_texts_go_and_mixtures_stay(spark, docs, model):
     assert len(rejected) - len(texts) <= 0.02 * len(mixed)
 
 
+def test_a_language_that_was_left_out_goes(docs):
+    """It has the script of those that are learnt, and is rejected by its subwords alone."""
+    model = langid.fit(docs.where("lang <> 'de'"), docs=600)
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang", "text"), "doc_id").where("length(text) > 200").collect()
+    share = lambda own: np.mean([r["rejected"] for r in rows if (r["lang"] == "de") != own and r["lang"]])
+    assert share(False) >= 0.9 and share(True) <= 0.02
+
+
 def test_symbols_that_are_no_letters(spark, model):
     """Fractions, powers, Roman and circled numbers are no letters; letters of any script are."""
     texts = ["½ ²³ ①② Ⅷ 42 _ !", "½x", "ª", "ʰ", "漢", "١٢٣"]
